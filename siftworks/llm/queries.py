@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..tables import cut, table
 from . import names
+from .canonical import canonical_countries, canonical_roles
 from .components import consolidate
 from .mix import mix
 from .pack import pack
@@ -63,6 +64,23 @@ def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
     return best.groupBy("group_id").agg(pick("name"), pick("source"), pick("from_date"), F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("record"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    orgs, people = table(spark, d, "organizations"), table(spark, d, "people")
+    countries, roles = table(spark, d, "ref_countries"), table(spark, d, "ref_roles")
+    entered = orgs.select(F.lit("organizations.region").alias("field"), "id", F.col("region").alias("value")).unionByName(
+        people.select(F.explode(F.array(F.struct(F.lit("people.country").alias("field"), "id", F.col("country").alias("value")),
+                                        F.struct(F.lit("people.known_for_role").alias("field"), "id", F.col("known_for_role").alias("value")))).alias("r")).select("r.*")
+    )
+    entered = entered.where("value is not null and value <> ''")
+    role = F.col("field") == "people.known_for_role"
+    listed = countries.select(F.col("name").alias("value")).union(countries.select("code")).select("value", F.lit(False).alias("role")).union(roles.select("title", F.lit(True))).distinct()
+    entered = entered.withColumn("role", role).join(F.broadcast(listed), ["value", "role"], "left_anti")  # the list has one row an entry
+    values = cut(entered.groupBy("value", "role").count().select("value", "role"))
+    codes = canonical_countries(spark, values.where("not role")).join(countries.select("code").distinct(), "code", "left_semi").select("value", F.lit(False).alias("role"), "code")
+    codes = codes.unionByName(canonical_roles(spark, values.where("role"), roles).select("value", F.lit(True).alias("role"), "code"))
+    return entered.join(codes, ["value", "role"], "left").select("field", "id", F.coalesce("code", F.lit("UNMATCHED")).alias("code"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return consolidate(table(spark, d, "role_records"), table(spark, d, "role_matches"))
 
@@ -95,6 +113,6 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_survivors": p1_survivors, "p6_found": p6_found, "p7_containers": p7_containers,
+    "p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p6_found": p6_found, "p7_containers": p7_containers,
     "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pieces": p9_pieces,
 }
