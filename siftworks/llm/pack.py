@@ -104,7 +104,8 @@ def pack(docs: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str =
     """
     kind = dict(docs.dtypes)[id_col]
     size = F.coalesce(F.col(size_col).cast("bigint"), F.lit(0))
-    sized = docs.select(F.col(id_col).alias("_id"), size.alias("whole")).withColumn("_ok", F.expr("assert_true(whole >= 0)"))
+    sized = cut(docs.select(F.col(id_col).alias("_id"), size.alias("whole")))  # sizes may be costly expressions: computed once
+    sized = sized.withColumn("_ok", F.expr("assert_true(whole >= 0)"))
     full = F.floor(F.col("whole") / capacity)
     full = F.when((F.col("whole") > 0) & (F.col("whole") % capacity == 0), full - 1).otherwise(full)
     parts = sized.where(F.col("_ok").isNull()).select("_id", "whole", full.alias("full"))
