@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..tables import cut, table
 from . import names
 from .canonical import canonical_countries, canonical_roles
+from .cascade import match_sources, row_pairs
 from .components import consolidate
 from .mix import mix
+from .orgs import source_groups
 from .pack import pack
 from .split import split_documents
-from .survivors import duplicate_groups, survivors
+from .survivors import survivors
 from .tokens import token_count
 
 
@@ -21,14 +23,9 @@ def _limits(spark: SparkSession, d: str, task: str) -> tuple[int, int]:
     return row["max_tokens"], row["overlap_tokens"]
 
 
-def _source_groups(orgs: DataFrame) -> DataFrame:
-    key = F.when((F.col("source") != "") & (F.col("source_id") != ""), F.concat_ws("|", "source", "source_id"))
-    return duplicate_groups(orgs, [key, names.lei(F.col("source"), F.col("source_id"), F.col("record"))])
-
-
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     orgs = table(spark, d, "organizations").select("id", "name", "source", "source_id", "from_date", "record", "loaded_at")
-    members = cut(orgs.join(_source_groups(orgs), "id").select("group_id", "id", "name", "source", "source_id", "from_date", "loaded_at"))
+    members = cut(orgs.join(source_groups(orgs), "id").select("group_id", "id", "name", "source", "source_id", "from_date", "loaded_at"))
     field = F.explode(
         F.array(
             F.struct(F.lit("name").alias("field"), F.when(names.usable_name(F.col("name"), F.col("source_id")), F.col("name")).alias("value")),
@@ -47,7 +44,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
     """Every field of the surviving record, voted: name, source, from_date and each entry of record."""
     orgs = table(spark, d, "organizations").select("id", "name", "source", "source_id", "from_date", "record", "loaded_at")
-    members = orgs.join(_source_groups(orgs), "id")
+    members = orgs.join(source_groups(orgs), "id")
     entries = F.transform(F.map_entries(F.coalesce("record", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.concat(F.lit("record."), e["key"]).alias("field"), F.when(~names.stand_in(e["value"]), e["value"]).alias("value")))
     fields = F.concat(
         F.array(
@@ -64,6 +61,16 @@ def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
     return best.groupBy("group_id").agg(pick("name"), pick("source"), pick("from_date"), F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("record"))
 
 
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every matched pair of rows with the rule that found it and its confidence."""
+    orgs = table(spark, d, "organizations").select("id", "name", "source", "source_id", "region", "from_date", "record")
+    return row_pairs(orgs, source_groups(orgs), match_sources(spark, orgs))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_matches(spark, d).select("id_a", "id_b")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     orgs, people = table(spark, d, "organizations"), table(spark, d, "people")
     countries, roles = table(spark, d, "ref_countries"), table(spark, d, "ref_roles")
@@ -113,6 +120,6 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p6_found": p6_found, "p7_containers": p7_containers,
+    "p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p6_found": p6_found, "p7_containers": p7_containers,
     "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pieces": p9_pieces,
 }
