@@ -56,10 +56,17 @@ def entries(spark: SparkSession, orgs: DataFrame) -> DataFrame:
     return cut(filled.select("id", "unit", "source", "source_id", "name", "lei", "words", "sounds", "business", "fund", "legal", "mark", *[F.coalesce(c, f"u_{c}").alias(c) for c in FIELDS]))
 
 
+def edits(x: Column, y: Column) -> Column:
+    """Edit distance; two letters that changed places are one edit."""
+    plain = F.levenshtein(x, y)
+    swapped = (plain == 2) & (F.length(x) == F.length(y)) & (F.array_sort(F.split(x, "")) == F.array_sort(F.split(y, "")))
+    return F.when(swapped, 1).otherwise(plain)
+
+
 def near(x: Column, y: Column) -> Column:
     """Two words that may be one: equal but for an edit in four letters, or one the beginning of the other."""
     shorter = F.least(F.length(x), F.length(y))
-    return (F.levenshtein(x, y) <= F.greatest(F.floor(F.greatest(F.length(x), F.length(y)) / 4), F.lit(1))) | ((shorter >= 4) & (F.startswith(x, y) | F.startswith(y, x)))
+    return (edits(x, y) <= F.greatest(F.floor(F.greatest(F.length(x), F.length(y)) / 4), F.lit(1))) | ((shorter >= 4) & (F.startswith(x, y) | F.startswith(y, x)))
 
 
 def same_words(a: Column, b: Column) -> Column:

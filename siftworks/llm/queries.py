@@ -16,6 +16,7 @@ from .pack import pack
 from .split import split_documents
 from .survivors import survivors
 from .tokens import token_count
+from .variants import spelling_variants
 
 
 def _limits(spark: SparkSession, d: str, task: str) -> tuple[int, int]:
@@ -88,6 +89,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return entered.join(codes, ["value", "role"], "left").select("field", "id", F.coalesce("code", F.lit("UNMATCHED")).alias("code"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    orgs = table(spark, d, "organizations").select("id", "name", "source", "source_id", "region", "from_date", "record")
+    people = table(spark, d, "people").select("id", "name", "source", "source_id", "country", "known_for_role", "known_for_org", "known_for_org_id", "birth_date", "record")
+    return spelling_variants(spark, orgs, people, table(spark, d, "ref_roles"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return consolidate(table(spark, d, "role_records"), table(spark, d, "role_matches"))
 
@@ -120,6 +127,6 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p6_found": p6_found, "p7_containers": p7_containers,
+    "p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_containers": p7_containers,
     "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pieces": p9_pieces,
 }
