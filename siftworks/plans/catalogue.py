@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hierarchies
+from . import hierarchies, normal_forms, relational
 
-MODULES = (hierarchies,)
+MODULES = (hierarchies, normal_forms, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
