@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _folders: set[str] = set()
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers of all executors, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parent
+    handle, local = tempfile.mkstemp(suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(local, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target = path(f"{shared_folder(spark)}/{root.name}.zip")
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, path(f"file://{local}"), target)
+    spark.sparkContext.addPyFile(target.toString())
 
 
 def _remove(spark: SparkSession, path: str) -> None:
