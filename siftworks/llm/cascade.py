@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import cut
+from .canonical import canonical_countries
 from .orgs import entries, joined, keys, same_words, years_apart
 
 
@@ -54,7 +55,7 @@ def agree(a: str = "a", b: str = "b") -> Column:
     words = same_words(x("sounds"), y("sounds")) | joined(x("words"), y("words"))
     support = F.when(city, 1).otherwise(0) + F.when(day, 1).otherwise(0) + F.when(same("phone"), 1).otherwise(0) + F.when(same("street") & city, 1).otherwise(0)
     against = F.when(other_city, 1).otherwise(0) + F.when(other_day, 1).otherwise(0)
-    by_name = named & words & business & (x("fund") == y("fund")) & ~other_country & (
+    by_name = named & business & (x("fund") == y("fund")) & ~other_country & words & (
         (full & (against == 0) & (country | (support >= 1))) | (full & (x("business") == y("business")) & (support > against) & country)
         | (~full & (support >= 1) & (against == 0) & (country | (support >= 2)))
     )
@@ -76,7 +77,8 @@ def match_sources(spark: SparkSession, orgs: DataFrame) -> DataFrame:
     Keys are 64-bit hashes; equal spellings of a unit meet once. NULL or blank attributes make no key, so a missing value never
     matches a missing one. Unusable names have no words and can match by facts only. Empty tables give no pairs.
     """
-    whole = entries(spark, orgs)
+    countries = cut(canonical_countries(spark, orgs.select(F.col("region").alias("value"))).where("code is not null").select("value", "code"))
+    whole = entries(orgs, countries)
     spelled = whole.groupBy("unit", "source", "sounds", "words", "business", "fund", *("country", "day", "city", "phone", "street")).agg(F.min("lei").alias("lei"))
     spelled = cut(spelled.withColumn("nth", F.monotonically_increasing_id()))
     rules = _rules()

@@ -7,9 +7,11 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import ship
+
 # Lines of business by code, in the languages of the sources; shortened forms are recognised by rule.
 BUSINESS = {
     "air": "airways airline airlines luftfahrt aerolineas aviation", "tex": "textiles textile textilien textil", "min": "mining bergbau mineria mines", "mfg": "manufacturing fertigung fabricacion fabrication manufacture mfg",
@@ -48,7 +50,7 @@ def plain(text: str) -> str:
     return "".join(ch for ch in text if not unicodedata.combining(ch)) if not text.isascii() else text
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=30_000)
 def sound(word: str) -> str:
     """A spelling shared by usual variants: digits for letters, ph/f, ck/k, ks/x, y/i, w/v, z/s, c/k, double letters."""
     if not word.isalpha():
@@ -57,7 +59,7 @@ def sound(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=30_000)
 def business(word: str, dotted: bool) -> str | None:
     """Code of the line of business a word means: listed, shortened (a beginning or the consonants), or with one or two slips."""
     if word in _WORD_OF:
@@ -135,6 +137,7 @@ def _rows(names: pd.Series) -> pd.DataFrame:
 def parts(name: Column) -> Column:
     """A name's parts as a struct; ``sounds`` are the distinct words in shared spelling, sorted. NULL has no words."""
 
+    ship(SparkSession.getActiveSession())
     @F.pandas_udf(SCHEMA)
     def take_apart(names: pd.Series) -> pd.DataFrame:
         return _rows(names)

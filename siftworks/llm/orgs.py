@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
 from ..tables import cut
 from . import names
-from .canonical import canonical_countries
 from .orgnames import parts
 from .survivors import duplicate_groups
 
@@ -29,31 +28,31 @@ def compact(value: Column) -> Column:
     return F.when(bare != "", bare)
 
 
-def entries(spark: SparkSession, orgs: DataFrame) -> DataFrame:
+def entries(orgs: DataFrame, countries: DataFrame) -> DataFrame:
     """One row per organizations row: ``id, unit, source, source_id, name`` and its parts and fields, in comparable form.
 
     ``unit`` is the smallest id of the rows that share a source record or an LEI with it. A field that a row lacks is
     taken from its unit (the smallest value, so that it doesn't depend on order). Stand-ins and identifiers have no words.
+    ``countries`` has ``value`` and ``code`` of the entered regions.
     """
-    groups = source_groups(orgs)
+    groups = cut(source_groups(orgs))
     entry = lambda k: F.element_at("record", F.lit(k))
     usable = names.usable_name(F.col("name"), F.col("source_id"))
+    codes = countries.select(F.col("value").alias("region"), F.col("code").alias("country"))
     base = orgs.select(
         "id", "name", "source", "source_id", "region",
         F.when(names.usable_date(F.col("from_date")), F.col("from_date")).alias("day"),
         compact(entry("city")).alias("city"), compact(entry("street")).alias("street"), compact(entry("postcode")).alias("postcode"),
         F.expr("nullif(right(regexp_replace(element_at(record, 'phone'), '[^0-9]', ''), 10), '')").alias("phone"),
         names.lei(F.col("source"), F.col("source_id"), F.col("record")).alias("lei"),
-        F.when(usable, F.col("name")).alias("spelling"),
-    ).join(groups, "id", "left")
-    base = base.withColumn("unit", F.coalesce("group_id", "id")).drop("group_id")
-    codes = canonical_countries(spark, orgs.select(F.col("region").alias("value"))).select(F.col("value").alias("region"), F.col("code").alias("country"))
-    spelled = parts(F.coalesce("spelling", F.lit("")))
-    base = cut(base.withColumn("p", spelled).join(codes, "region", "left").select("*", "p.*").drop("p", "region"))
-    base = base.withColumn("country", F.coalesce("country", F.when(F.length("mark") == 2, F.col("mark"))))
-    shared = base.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"u_{c}") for c in FIELDS]).where("n > 1").drop("n")
-    filled = base.join(shared, "unit", "left")
-    return cut(filled.select("id", "unit", "source", "source_id", "name", "lei", "words", "sounds", "business", "fund", "legal", "mark", *[F.coalesce(c, f"u_{c}").alias(c) for c in FIELDS]))
+        parts(F.when(usable, F.col("name")).otherwise(F.lit(""))).alias("p"),
+    ).select("*", "p.*").drop("p")
+    base = base.join(codes, "region", "left").drop("region").withColumn("country", F.coalesce("country", F.when(F.length("mark") == 2, F.col("mark"))))
+    base = cut(base)
+    shared = base.select("id", *FIELDS).join(groups, "id").groupBy("group_id").agg(*[F.min(c).alias(f"u_{c}") for c in FIELDS])
+    known = groups.join(shared, "group_id")
+    filled = base.join(known, "id", "left")
+    return cut(filled.select("id", F.coalesce("group_id", "id").alias("unit"), "source", "source_id", "name", "lei", "words", "sounds", "business", "fund", "legal", "mark", *[F.coalesce(c, f"u_{c}").alias(c) for c in FIELDS]), replaces=base)
 
 
 def edits(x: Column, y: Column) -> Column:

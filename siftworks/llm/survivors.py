@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import cut
+from ..tables import cut, ship
 from .components import components
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -96,6 +96,7 @@ def consensus_values(values: DataFrame, keys: list[str], block: int = 48) -> Dat
 
     Groups with one value skip Python. NULL values must not occur; equal values must have been summed before.
     """
+    ship(values.sparkSession)
     spark_keys = [F.col(k) for k in keys]
     sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     marked = cut(values.join(sizes, keys))
