@@ -15,9 +15,14 @@ _PLAIN = "".join(k * len(v) for k, v in _MARKS.items())
 _LONG = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d"}
 
 
+def unmarked(text: Column) -> Column:
+    """Lower case, Latin letters without their marks."""
+    return F.translate(F.lower(text), _MARKED, _PLAIN)
+
+
 def fold(text: Column) -> Column:
     """Lower case without marks on Latin letters; NULL stays NULL."""
-    out = F.translate(F.lower(text), _MARKED, _PLAIN)
+    out = unmarked(text)
     for a, b in _LONG.items():
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.regexp_replace(out, r"\p{M}+", "")
