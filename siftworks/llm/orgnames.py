@@ -75,9 +75,9 @@ def business(word: str, dotted: bool) -> str | None:
                         it = iter(w)
                         if all(ch in it for ch in word):
                             return _WORD_OF[w]
+        if len(word) >= 4 and word in _NEAR:
+            return _NEAR[word]
         if len(word) >= 5:
-            if word in _NEAR:
-                return _NEAR[word]
             for i in range(len(word)):
                 short = word[:i] + word[i + 1 :]
                 if short in _WORD_OF and len(short) >= 5:
@@ -102,6 +102,7 @@ def parse(name: str) -> tuple[list[str], str, int, str, str]:
     joined = re.sub(r"public limited company", "plc", joined)
     tokens = re.findall(r"[a-z0-9]+\.?", joined)
     words: list[str] = []
+    listed = {_WORD_OF[t.rstrip(".")] for t in tokens if t.rstrip(".") in _WORD_OF}
     k = 0
     while k < len(tokens):
         dotted, t = tokens[k][-1] == ".", tokens[k].rstrip(".")
@@ -113,8 +114,10 @@ def parse(name: str) -> tuple[list[str], str, int, str, str]:
             legal = legal if legal == "pty" else _FORM_OF[t]
         elif t in _DROP or t == "fund":
             pass
-        elif (b := business(t, dotted)) and not (code and b == "int"):
+        elif (b := business(t, dotted)) and (t in _WORD_OF or not listed or b in listed):  # beside a listed word, one like another line is a name
             code = b if not code or code == "int" else code
+        elif k == len(tokens) - 1 and len(words) >= 2 and not code and len(t) >= 3 and (b := next((_WORD_OF[w] for w in _LONG if w.startswith(t)), None)):
+            code = b  # a long name cut off
         elif len(t) >= 3 and not (k == len(tokens) - 1 and words and any(f.startswith(t) for f in ("limited", "incorporated", "corporation", "gmbh"))):
             words.append(t)
         k += 1

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import unmarked
 from ..tables import cut
 from . import names
 from .orgnames import parts
@@ -23,8 +23,8 @@ def source_groups(orgs: DataFrame) -> DataFrame:
 
 
 def compact(value: Column) -> Column:
-    """Letters and digits only, folded; NULL if none is left."""
-    bare = F.regexp_replace(fold(value), r"[^\p{L}\p{N}]", "")
+    """Letters and digits only, in lower case and without marks; NULL if none is left."""
+    bare = F.regexp_replace(unmarked(value), r"[^\p{L}\p{N}]", "")
     return F.when(bare != "", bare)
 
 
