@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hierarchies, normal_forms, relational, texts
+from . import hierarchies, imports, normal_forms, relational, texts
 
-MODULES = (hierarchies, normal_forms, relational, texts)
+MODULES = (hierarchies, normal_forms, relational, texts, imports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -105,8 +105,13 @@ def sec_submissions(raw: DataFrame, column: str, tickers: DataFrame | None = Non
 
 def form_index(spark: SparkSession, path: str) -> DataFrame:
     """``(company, cik, filed, file, accession)`` of the Form 4 lines of a form index."""
+    return form_index_lines(spark.read.text(path))
+
+
+def form_index_lines(text: DataFrame) -> DataFrame:
+    """``form_index`` over lines in ``value``."""
     hit = r"^4\s+(.+?)\s+(\d{6,})\s+(\S+)\s+(\S+)\s*$"
-    lines = spark.read.text(path).where(c("value").rlike(hit))
+    lines = text.where(c("value").rlike(hit))
     part = lambda i: F.regexp_extract("value", hit, i)
     return lines.select(part(1).alias("company"), part(2).alias("cik"), part(3).alias("filed"), part(4).alias("file"), F.regexp_extract("value", r"/(\d+-\d+-\d+)\.txt", 1).alias("accession"))
 
@@ -136,13 +141,18 @@ CATEGORY_PREFIXES = (
 )
 
 
+def company_kind(category: Column) -> Column:
+    """The kind of the first beginning that fits; NULL for categories that are left out."""
+    return F.coalesce(*[F.when(F.startswith(F.lower(category), F.lit(p)), F.lit(k)) for p, k in CATEGORY_PREFIXES])
+
+
 def companies_house_csv(spark: SparkSession, path: str, active_only: bool = True) -> DataFrame:
     """Companies of the basic company data file; header names are trimmed, categories taken by their beginning, others dropped."""
     raw = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=False)
     names = {n.strip().lstrip("﻿"): n for n in raw.columns}
     get = lambda n: c(f"`{names[n]}`") if n in names else F.lit(None).cast("string")
     iso = lambda n: F.coalesce(F.date_format(F.try_to_timestamp(get(n), F.lit("dd/MM/yyyy")), "yyyy-MM-dd"), F.lit(""))
-    kind = F.coalesce(*[F.when(F.startswith(F.lower(get("CompanyCategory")), F.lit(p)), F.lit(k)) for p, k in CATEGORY_PREFIXES])
+    kind = company_kind(get("CompanyCategory"))
     rows = raw.select(
         get("CompanyName").alias("name"), F.lit("companies_house").alias("source"), get("CompanyNumber").alias("source_id"), F.coalesce(get("CountryOfOrigin"), F.lit("GB")).alias("region"), kind.alias("entity_type"),
         iso("IncorporationDate").alias("from_date"), iso("DissolutionDate").alias("to_date"), F.lower(get("CompanyStatus")).alias("status"), get("SICCode.SicText_1").alias("sic"),
@@ -170,7 +180,12 @@ def officers(spark: SparkSession, path: str, current_only: bool = False) -> Data
     person number 13-24, dates CCYYMMDD of appointment 25-32 and resignation 33-40, then ``title<forenames<surname<...``.
     Lines carry their number, so a company's name is joined by its number and needs no order. Header and trailer lines are skipped.
     """
-    lines = spark.read.text(path).where(~c("value").rlike("^(DDDD|9999)") & (F.length("value") > 40))
+    return officer_lines(spark.read.text(path), current_only)
+
+
+def officer_lines(text: DataFrame, current_only: bool = False) -> DataFrame:
+    """``officers`` over lines in ``value``."""
+    lines = text.where(~c("value").rlike("^(DDDD|9999)") & (F.length("value") > 40))
     cut_ = lambda a, n: F.substring("value", a, n)
     companies = lines.where(cut_(9, 1) == "1").groupBy(cut_(1, 8).alias("company_number")).agg(F.max(F.trim(F.regexp_replace(F.substring("value", 41, 200), "<.*", ""))).alias("company"))
     people = lines.where(cut_(9, 1) == "2").select(
@@ -194,7 +209,12 @@ ENTITY = f"id string, type string, labels map<string, struct<value: string>>, de
 
 def wikidata_entities(spark: SparkSession, path: str) -> DataFrame:
     """Entities of a dump: a JSON array with one entity a line, plain or compressed; lines that are none are dropped."""
-    lines = spark.read.text(path).select(F.regexp_replace(F.trim("value"), r",\s*$", "").alias("line")).where(~c("line").isin("[", "]", ""))
+    return wikidata_lines(spark.read.text(path))
+
+
+def wikidata_lines(text: DataFrame) -> DataFrame:
+    """``wikidata_entities`` over lines in ``value``."""
+    lines = text.select(F.regexp_replace(F.trim("value"), r",\s*$", "").alias("line")).where(~c("line").isin("[", "]", ""))
     return lines.select(F.from_json("line", ENTITY).alias("e")).where("e.id is not null").select("e.*")
 
 
