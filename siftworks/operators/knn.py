@@ -10,38 +10,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024, most_queries: int = 200_000) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block_mb: int = 32) -> DataFrame:
     """``(query_id, vec_id, similarity)``: for each query the ``k`` vectors of largest cosine, ties to the smaller id.
 
-    ``queries`` has ``query_id`` and ``embedding``, ``vectors`` ``vec_id`` and ``embedding``. Queries are dealt into blocks
-    of ``block``; every block meets every partition of the vectors, multiplies two matrices and passes on its ``k`` best
-    per query, so what is shuffled is queries x partitions x k rows and not all pairs. The query set is counted first:
-    more than ``most_queries`` are refused, as the plan reads all vectors once a block and sends the blocks to every task.
+    ``queries`` has ``query_id`` and ``embedding``, ``vectors`` ``vec_id`` and ``embedding``. The query set is measured and
+    dealt by hash into groups of at most about ``block_mb`` MB, each sent to the executors once. A task multiplies its
+    vectors with a group batch by batch and keeps the ``k`` best per query, so what is shuffled is queries x tasks x k
+    rows, never all pairs; more queries mean more groups and more passes over the vectors, not more memory.
 
     Vectors without length have no neighbours and are none; NULL vectors likewise. Vectors must have one width.
     """
     usable = lambda df, key: df.select(key, F.col("embedding").cast("array<float>").alias("embedding")).where(F.exists("embedding", lambda x: x != 0))
     asked = usable(queries, "query_id")
-    n = asked.count()
-    if n > most_queries:
-        raise ValueError(f"{n} queries; at most {most_queries} are taken at once")
-    packed = asked.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block))))).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("query_id", "embedding"))).alias("q"))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for b, rows in batch.groupby("b"):
-                q = rows["q"].iloc[0]
-                ids = np.array([x["query_id"] for x in q])
-                left = np.array([x["embedding"] for x in q], np.float64)
-                right = np.array(rows["embedding"].tolist(), np.float64)
-                keys = rows["vec_id"].to_numpy()
-                score = (left / np.linalg.norm(left, axis=1, keepdims=True)) @ (right / np.linalg.norm(right, axis=1, keepdims=True)).T
-                take = min(k, len(keys))
-                order = np.lexsort((np.broadcast_to(keys, score.shape), -np.round(score, 9)), axis=1)[:, :take]
-                yield pd.DataFrame({"query_id": np.repeat(ids, take), "vec_id": keys[order].ravel(), "similarity": np.take_along_axis(score, order, 1).ravel()})
-
-    met = usable(vectors, "vec_id").join(F.broadcast(packed))
-    found = met.mapInPandas(best, "query_id bigint, vec_id bigint, similarity double")
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("width")).first()
+    groups = max(1, -(-size["n"] * (size["width"] + 2) * 8 // (block_mb << 20)))
+    spark = vectors.sparkSession
+    whole = usable(vectors, "vec_id")
+    found = spark.createDataFrame([], "query_id bigint, vec_id bigint, similarity double")
+    for g in range(groups):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g).collect()  # at most about block_mb
+        if not rows:
+            continue
+        left = np.array([r["embedding"] for r in rows], np.float64)
+        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), left / np.linalg.norm(left, axis=1, keepdims=True)))
+
+        def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            ids, unit = sent.value
+            keys, top = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+            for batch in batches:
+                right = np.array(batch["embedding"].tolist(), np.float64)
+                score = unit @ (right / np.linalg.norm(right, axis=1, keepdims=True)).T
+                keys = np.hstack([keys, np.broadcast_to(batch["vec_id"].to_numpy(), score.shape)])
+                top = np.hstack([top, score])
+                order = np.lexsort((keys, -np.round(top, 9)), axis=1)[:, :k]
+                keys, top = np.take_along_axis(keys, order, 1), np.take_along_axis(top, order, 1)
+            yield pd.DataFrame({"query_id": np.repeat(ids, keys.shape[1]), "vec_id": keys.ravel(), "similarity": top.ravel()})
+
+        found = found.unionByName(whole.mapInPandas(best, "query_id bigint, vec_id bigint, similarity double"))
     ranked = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.round("similarity", 9)).alias("s"), "vec_id", "similarity"))), 1, k).alias("r"))
     return ranked.select("query_id", F.explode("r").alias("r")).select("query_id", "r.vec_id", "r.similarity")
 

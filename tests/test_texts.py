@@ -60,7 +60,7 @@ def test_nearest_against_brute_force(spark):
     v = rng.normal(size=(200, 8)).astype(np.float32)
     v[7] = 0
     rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id bigint, embedding array<float>")
-    found = nearest(rows.where("vec_id < 20").withColumnRenamed("vec_id", "query_id"), rows, 5, block=6).collect()
+    found = nearest(rows.where("vec_id < 20").withColumnRenamed("vec_id", "query_id"), rows, 5).collect()
     unit = v.astype(float) / np.maximum(np.linalg.norm(v.astype(float), axis=1, keepdims=True), 1e-30)
     score = np.round(unit @ unit.T, 9)
     for q in range(20):
