@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..tables import cut
 from .canonical import canonical_countries
-from .orgs import entries, joined, keys, same_words, years_apart
+from .orgs import edits, entries, joined, keys, same_words, years_apart
 
 
 def _rules() -> list[tuple[str, list[Column]]]:
@@ -34,17 +34,22 @@ def _rules() -> list[tuple[str, list[Column]]]:
         ("city, day", [F.array("city"), c("day")]),
         ("phone, city", [F.array("phone"), c("city")]),
         ("street, city", [F.array("street"), c("city")]),
+        ("phone, street", [F.array("phone"), c("street")]),
     ]
 
 
+#: The passes: rules of one strength are joined together. Numbers of ``_rules``.
+TIERS = ((0, 1), (2, 3), (4, 5, 6), (7, 8), (9, 10, 11), (12, 13, 14, 15))
+
+
 def agree(a: str = "a", b: str = "b") -> Column:
     """The facts of two entries don't contradict each other, and more than a name speaks for them where the name alone is weak."""
     x, y = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))
     both = lambda f: x(f).isNotNull() & y(f).isNotNull()
     same = lambda f: F.coalesce(x(f) == y(f), F.lit(False))
     named = (F.size(x("sounds")) > 0) & (F.size(y("sounds")) > 0)
-    city = both("city") & (F.levenshtein(x("city"), y("city")) <= F.greatest(F.length(x("city")) / 4, F.lit(1)))
-    other_city = both("city") & ~city
+    city = both("city") & (edits(x("city"), y("city")) <= F.greatest(F.length(x("city")) / 4, F.lit(1)))
+    other_city = both("city") & ~city & ~same("phone")
     apart = years_apart(x("day"), y("day"))
     day = both("day") & (apart <= 2.2)
     other_day = both("day") & (apart > 2.2)
@@ -59,16 +64,16 @@ def agree(a: str = "a", b: str = "b") -> Column:
         (full & (against == 0) & (country | (support >= 1))) | (full & (x("business") == y("business")) & (support > against) & country)
         | (~full & (support >= 1) & (against == 0) & (country | (support >= 2)))
     )
-    by_facts = ~named & ~other_country & city & (against == 0) & ((day & country) | same("phone") | same("street"))
+    by_facts = ~named & ~other_country & (against == 0) & ((city & day & country) | (city & same("phone")) | (city & same("street")) | (same("phone") & same("street")))
     return by_name | by_facts
 
 
 def match_sources(spark: SparkSession, orgs: DataFrame) -> DataFrame:
     """``(unit_a, unit_b, rule, confidence)``: pairs of units that are one legal entity, with at least two sources between them.
 
-    A unit is the rows joined by a source record or an LEI. The rules of ``_rules`` are joined one after the other, each on
-    the equality of its attributes; a pair must also pass ``agree``. A unit that found its partner in another source is
-    resolved for that source: later, weaker rules join the unresolved units of either side only, by an anti-join.
+    A unit is the rows joined by a source record or an LEI. The rules of ``_rules`` are joined in the passes of ``TIERS``, from the
+    strongest on, each on the equality of its attributes; a pair must also pass ``agree``. A unit that found its partner in
+    another source is resolved for that source: later, weaker passes take pairs with an unresolved side only.
     Pairs that a unit matched twice over are closed by one step (a-b and b-c give a-c, if they agree).
 
     ``confidence`` is the rule's precision on labelled pairs, smoothed by one pair of either kind: candidate pairs across
@@ -89,11 +94,11 @@ def match_sources(spark: SparkSession, orgs: DataFrame) -> DataFrame:
     keyed = cut(keyed.join(shared, ["rule", "key"], "left_semi"), replaces=keyed)
     facts = spelled.select(F.col("nth"), F.struct("lei", "sounds", "words", "business", "fund", "country", "day", "city", "phone", "street").alias("f"))
     found: DataFrame | None = None
-    for k, (name, _) in enumerate(rules):
-        own = keyed.where(F.col("rule") == k).select("key", "nth", "unit", "source")
-        left = own.select("key", F.col("nth").alias("n1"), F.col("unit").alias("u1"), F.col("source").alias("s1"))
+    for tier in TIERS:
+        own = keyed.where(F.col("rule").isin(*tier))
+        left = own.select("key", "rule", F.col("nth").alias("n1"), F.col("unit").alias("u1"), F.col("source").alias("s1"))
         right = own.select("key", F.col("nth").alias("n2"), F.col("unit").alias("u2"), F.col("source").alias("s2"))
-        met = left.join(right, "key").where("s1 <> s2 and u1 <= u2 and n1 <> n2").select("n1", "n2", "u1", "u2", "s1", "s2").distinct()
+        met = left.join(right, "key").where("s1 <> s2 and u1 <= u2 and n1 <> n2").groupBy("n1", "n2", "u1", "u2", "s1", "s2").agg(F.min("rule").alias("rule"))
         if found is not None:
             done = found.select("unit_a", "unit_b", "sa", "sb")
             resolved = done.select(F.col("unit_a").alias("u"), F.col("sb").alias("s")).union(done.select("unit_b", "sa")).distinct()
@@ -105,9 +110,9 @@ def match_sources(spark: SparkSession, orgs: DataFrame) -> DataFrame:
             .join(facts.select(F.col("nth").alias("n2"), F.col("f").alias("b")), "n2")
             .where(agree())
             .groupBy("u1", "u2", "s1", "s2")
-            .agg(F.max(F.coalesce(F.col("a.lei") == F.col("b.lei"), F.lit(False))).alias("same_lei"), F.max(F.col("a.lei").isNotNull() & F.col("b.lei").isNotNull()).alias("labelled"))
+            .agg(F.min("rule").alias("rule"), F.max(F.coalesce(F.col("a.lei") == F.col("b.lei"), F.lit(False))).alias("same_lei"), F.max(F.col("a.lei").isNotNull() & F.col("b.lei").isNotNull()).alias("labelled"))
         )
-        fine = fine.select(F.col("u1").alias("unit_a"), F.col("u2").alias("unit_b"), F.col("s1").alias("sa"), F.col("s2").alias("sb"), F.lit(k).alias("rule"), "same_lei", "labelled")
+        fine = fine.select(F.col("u1").alias("unit_a"), F.col("u2").alias("unit_b"), F.col("s1").alias("sa"), F.col("s2").alias("sb"), "rule", "same_lei", "labelled")
         found = cut(fine if found is None else found.unionByName(fine), replaces=found)
     right = F.count_if(F.col("same_lei") | (F.col("unit_a") == F.col("unit_b")))
     precision = found.where("labelled").groupBy("rule").agg(((right + 1) / (F.count(F.lit(1)) + 2)).alias("confidence"))
