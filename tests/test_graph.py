@@ -89,6 +89,17 @@ def test_hierarchy(spark, name):
     assert {r["id"]: (r["status"], r["depth"]) for r in found} == want
 
 
+def test_hierarchy_ignores_other_columns(spark):
+    rows = spark.createDataFrame([(1, [2], "x", 9, "y"), (2, None, None, 8, "z")], "id bigint, parent_ids array<bigint>, status string, root_id int, child string")
+    assert {(r["id"], r["root_id"], r["status"]) for r in hierarchy(rows).collect()} == {(1, 2, "tree"), (2, 2, "tree")}
+
+
+def test_long_circle_and_tails(spark):
+    nodes = [(i, [(i + 1) % 60]) for i in range(60)] + [(100 + i, [99 + i if i else 3]) for i in range(5)]
+    found = {r["id"]: r["status"] for r in hierarchy(spark.createDataFrame(nodes, "id bigint, parent_ids array<bigint>")).collect()}
+    assert found == {i: "cycle" if i < 60 else "below_cycle" for i, _ in nodes}
+
+
 def test_intervals_and_paths(spark):
     rng = Random(5)
     nodes = [(i, [rng.randrange(max(0, i - 9), i)] if i % 40 else []) for i in range(400)]
