@@ -238,17 +238,18 @@ def j18_classify_unique_texts(spark, d):
 
 
 @query(r"""with t as (select id, record['ticker'] as ticker, lower(name) as n, regexp_replace(lower(name), ' (inc|corp|corporation|ltd|limited|plc|llc)\.?\z', '', 'g') as s from organizations where record['ticker'] is not null),
-  q as (select id, lower(name) as n, regexp_replace(lower(name), ' (inc|corp|corporation|ltd|limited|plc|llc)\.?\z', '', 'g') as s from organizations where record['ticker'] is null and length(name) > 8),
-  h as (select q.id, t.ticker, case when q.n = t.n then 1 else 2 end as tier, t.id as tid from q join t on q.n = t.n or q.s = t.s)
-  select id, arg_min(ticker, (tier, tid)) as ticker from h group by 1""")
+  q as (select distinct known_for_org as text, lower(known_for_org) as n, regexp_replace(lower(known_for_org), ' (inc|corp|corporation|ltd|limited|plc|llc)\.?\z', '', 'g') as s from people where known_for_org <> ''),
+  h as (select q.text, t.ticker, case when q.n = t.n then 1 else 2 end as tier, t.id as tid from q join t on q.n = t.n or q.s = t.s)
+  select text, arg_min(ticker, (tier, tid)) as ticker from h group by 1""")
 def j20_ticker_lookup(spark, d):
-    """Names without a ticker take it from an equal name, else from one equal without its legal form."""
+    """Employers take the ticker of an organization of equal name, else of one equal without its legal form."""
     short = lambda x: F.regexp_replace(x, r" (inc|corp|corporation|ltd|limited|plc|llc)\.?\z", "")
-    orgs = table(spark, d, "organizations").select("id", F.lower("name").alias("n"), short(F.lower("name")).alias("s"), F.element_at("record", F.lit("ticker")).alias("ticker"))
-    listed, asked = orgs.where("ticker is not null"), orgs.where("ticker is null and length(n) > 8").select("id", "n", "s")
-    exact = asked.join(listed.select("n", c("id").alias("tid"), "ticker"), "n").select("id", "ticker", F.lit(1).alias("tier"), "tid")
-    bare = asked.join(listed.select("s", c("id").alias("tid"), "ticker"), "s").select("id", "ticker", F.lit(2).alias("tier"), "tid")
-    return exact.unionByName(bare).groupBy("id").agg(F.min_by("ticker", F.struct("tier", "tid")).alias("ticker"))
+    named = lambda df, x: df.withColumns({"n": F.lower(x), "s": short(F.lower(x))})
+    listed = named(table(spark, d, "organizations").select(c("id").alias("tid"), "name", F.element_at("record", F.lit("ticker")).alias("ticker")).where("ticker is not null"), "name")
+    asked = named(table(spark, d, "people").select(c("known_for_org").alias("text")).where("text <> ''").distinct(), "text")
+    exact = asked.join(listed.select("n", "tid", "ticker"), "n").select("text", "ticker", F.lit(1).alias("tier"), "tid")
+    bare = asked.join(listed.select("s", "tid", "ticker"), "s").select("text", "ticker", F.lit(2).alias("tier"), "tid")
+    return exact.unionByName(bare).groupBy("text").agg(F.min_by("ticker", F.struct("tier", "tid")).alias("ticker"))
 
 
 @query("""select p.id, o.id as org_id from people p join organizations o on o.id = p.known_for_org_id where contains(lower(o.name), lower(p.known_for_org)) or contains(lower(p.known_for_org), lower(o.name))""")

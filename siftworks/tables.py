@@ -18,14 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a local folder is set only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """This application's part of the folder that all executors share, ``spark.checkpoint.dir``; a local folder only where that is unset."""
+    app = spark.sparkContext.applicationId
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local.get(app)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="siftworks-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/siftworks-{spark.sparkContext.applicationId}"
+        root = _local[app] = "file://" + tempfile.mkdtemp(prefix="siftworks-")
+    return f"{root.rstrip('/')}/siftworks-{app}"
 
 
+_local: dict[str, str] = {}
 _folders: set[str] = set()
 _shipped: set[str] = set()
 
