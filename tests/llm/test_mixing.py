@@ -30,7 +30,7 @@ def test_quotas_respect_caps():
 
 def test_mix(spark):
     rows = [(i, "big", 10) for i in range(500)] + [(1000 + i, "small", 10) for i in range(30)] + [(2000, None, 10), (2001, "other", 10), (2002, "big", None), (2003, "big", 0)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint").withColumnsRenamed({})
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, source string, n_tokens bigint, uses int, shard string")  # names the operator uses too
     targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.3, 3), ("none", 0.1, 2)], "source string, target_share double, max_repeats int")
     used, report = mix(docs, targets, block=10, shard_tokens=1000)
     uses = {r["doc_id"]: r["uses"] for r in used.collect()}

@@ -46,3 +46,10 @@ def test_a_large_group_is_merged_in_blocks(spark):
     values = [(1, f"Acme Water {i} Limited", 1.0, i) for i in range(300)] + [(1, "Acme Water Limited", 2.0, 999)]
     df = spark.createDataFrame(values, "g int, value string, weight double, rank int")
     assert [r["value"] for r in consensus_values(df, ["g"], block=8).collect()] == ["Acme Water Limited"]
+
+
+def test_ties_repeats_and_other_columns(spark):
+    rows = [(1, 5, "B", 2, 1.0, "x"), (1, 3, "A", 2, 1.0, "y"), (1, 3, "A", 2, 1.0, "y"), (2, 9, "same", 1, None, "z"), (2, 8, "same", 1, None, None)]
+    df = spark.createDataFrame(rows, "g int, id bigint, value string, trust int, at double, weight string")
+    got = {r["g"]: (r["value"], r["row_id"]) for r in survivors(df, ["g"], F.col("trust"), F.col("at")).collect()}
+    assert got == {1: ("A", 3), 2: ("same", 8)}
