@@ -35,11 +35,13 @@ def _rules() -> list[tuple[str, list[Column]]]:
         ("phone, city", [F.array("phone"), c("city")]),
         ("street, city", [F.array("street"), c("city")]),
         ("phone, street", [F.array("phone"), c("street")]),
+        ("city, business, country", [F.array("city"), business, fund, c("country")]),
+        ("day, business, country", [F.array("day"), business, fund, c("country")]),
     ]
 
 
 #: The passes: rules of one strength are joined together. Numbers of ``_rules``.
-TIERS = ((0, 1), (2, 3), (4, 5, 6), (7, 8), (9, 10, 11), (12, 13, 14, 15))
+TIERS = ((0, 1), (2, 3), (4, 5, 6), (7, 8), (9, 10, 11), (12, 13, 14, 15, 16, 17))
 
 
 def agree(a: str = "a", b: str = "b") -> Column:
