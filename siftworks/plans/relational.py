@@ -10,7 +10,7 @@ from ..functions import normalize as N
 from ..functions.regions import region_lookup, sql_lookup, with_region
 from ..operators import store
 from ..operators.graph import connected_components, pick_canonical, star_edges
-from ..tables import table
+from ..tables import cut, table
 from .normal_forms import SQL_TRIPLES, triples
 
 c = F.col
@@ -550,8 +550,14 @@ def g03_canonicalize_people(spark, d):
     org = F.when(c("known_for_org_id").isNotNull(), F.concat(F.lit("#"), c("known_for_org_id"))).otherwise(F.nullif(F.lower(F.trim("known_for_org")), F.lit("")))
     by_org = star_edges(people, [F.when(org.isNotNull(), F.concat_ws("|", "name_normalized", org))])
     terms = people.where("from_date <> ''").select("id", "name_normalized", "from_date", F.coalesce(F.nullif("to_date", F.lit("")), F.lit("9999-12-31")).alias("until")).where("from_date <= until")
-    w = Window.partitionBy("name_normalized").orderBy("from_date", "id")
-    swept = terms.withColumn("reach", F.max("until").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("before", F.lag("id").over(w))
+    # a range sort, so that the rows of a frequent name lie in many partitions; what came before in the same name is carried in
+    ordered = cut(terms.repartitionByRange("name_normalized", "from_date", "id").withColumn("p", F.spark_partition_id()))
+    ends = ordered.groupBy("name_normalized", "p").agg(F.max("until").alias("most"), F.max_by("id", F.struct("from_date", "id")).alias("last"))
+    ahead = Window.partitionBy("name_normalized").orderBy("p")  # one row a partition
+    carried = ends.select("name_normalized", "p", F.max("most").over(ahead.rowsBetween(Window.unboundedPreceding, -1)).alias("reach0"), F.lag("last").over(ahead).alias("before0")).where("reach0 is not null")
+    w = Window.partitionBy("p", "name_normalized").orderBy("from_date", "id")
+    swept = ordered.withColumn("reach", F.max("until").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("before", F.lag("id").over(w)).join(carried, ["name_normalized", "p"], "left")
+    swept = swept.withColumns({"reach": F.greatest("reach", "reach0"), "before": F.coalesce("before", "before0")})
     by_date = swept.where("before is not null and from_date <= reach").select(c("before").alias("a"), c("id").alias("b"))
     # a term that ends before it starts overlaps only terms around both of its days
     odd = people.where("from_date <> '' and to_date <> '' and to_date < from_date").select(c("id").alias("b"), "name_normalized", c("from_date").alias("f"), c("to_date").alias("t"))
