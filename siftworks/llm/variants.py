@@ -186,8 +186,10 @@ def person_pairs(spark: SparkSession, people: DataFrame, roles: DataFrame | None
     """``(key_a, key_b)``: rows of one person whose names are not exactly equal.
 
     Entries (equal name words and facts) meet where a rare word of their names is the same and with it the month of birth,
-    the employer, or the nation and an initial, or where a given name and the whole birth date are. Words used by more than the fourth part of the square root of all entries are
-    given names; the others are surnames or slips. Each entry is attached to the better-ranked entry (spellings used more
+    or, however common or misspelt the words are, where the initials of two words are the same and with them the day of
+    birth or the employer, or all words and the nation. An employer of more than a twentieth of all entries says little: its
+    key also takes the month of birth, or a whole word and the nation, or all words.
+    Each entry is attached to the better-ranked entry (spellings used more
     often, fuller names) with the largest posterior: log frequency, likelihood of the writing, and the odds of birth date,
     nation, role, employer and source record; below ``0`` it stays on its own. Pairs come from the clusters.
     """
@@ -197,26 +199,30 @@ def person_pairs(spark: SparkSession, people: DataFrame, roles: DataFrame | None
     uses = grouped.groupBy(spelling.alias("text")).agg(F.sum("rows").alias("uses"))
     n = grouped.count()
     employers = grouped.where("org is not null").groupBy("org").agg(F.log(F.lit(n + 1.0) / F.sum("rows")).alias("org_odds")).where(f("org_odds") < 6.0)
-    grouped = cut(grouped.withColumn("text", spelling).join(uses, "text").join(cut(employers), "org", "left").select("nth", "sounds", "birth", "nation", "role", F.when(f("org").isNotNull(), F.xxhash64("org")).alias("org"), F.coalesce("org_odds", F.lit(6.0)).alias("org_odds"), "origin", "uses"))
+    grouped = cut(grouped.withColumn("text", spelling).join(uses, "text").join(cut(employers), "org", "left").select("nth", "sounds", "birth", "nation", "role", F.when(f("org").isNotNull(), F.xxhash64("org")).alias("org"), F.coalesce("org_odds", F.lit(6.0)).alias("org_odds"), "origin", "uses", "text"))
     full = F.aggregate("sounds", F.lit(0), lambda t, w: t + F.when(F.length(w) > 1, 1).otherwise(0))
     rank = f("uses") * 32 + F.least(full, F.lit(15)) * 2 + F.when(F.length("birth") == 10, 1).otherwise(0)
-    each = grouped.select("nth", "birth", "nation", "org", "sounds", rank.alias("rank"), F.explode(F.array_distinct("sounds")).alias("word")).where("length(word) >= 3")
-    frequent = cut(each.groupBy("word").count().where(f("count") > max(8.0, n**0.5 / 4)).select("word", F.lit(True).alias("given")))
-    each = each.join(frequent, "word", "left")
-    initials = F.array_distinct(F.transform(F.filter("sounds", lambda w: w != f("word")), lambda w: F.substring(w, 1, 1)))
-    rare, dated = f("given").isNull(), f("birth").isNotNull()
-    key = lambda *parts: F.concat_ws("|", *parts)
-    # a surname in one nation may be frequent: its key also takes the initials of the other words
-    by_nation = F.transform(initials, lambda i: key(F.lit("n"), f("word"), f("nation"), i))
+    frequent = cut(grouped.select(F.explode(F.array_distinct("sounds")).alias("word")).where("length(word) >= 3").groupBy("word").count().where(f("count") > max(8.0, n**0.5 / 4)).select("word"))
+    rare = cut(grouped.select("nth", F.explode(F.array_distinct("sounds")).alias("word")).where("length(word) >= 3").join(frequent, "word", "left_anti").groupBy("nth").agg(F.collect_list("word").alias("rare")))
+    first = lambda ws: F.transform(ws, lambda w: F.substring(w, 1, 1))
+    # a word and the initial of another one; the initials of any two words
+    tag = lambda w: F.transform(F.array_distinct(first(F.filter("sounds", lambda v: v != w))), lambda i: F.concat_ws("|", w, i))
+    tags = F.flatten(F.transform(F.filter(F.array_distinct("sounds"), lambda w: F.length(w) >= 3), tag))
+    two = lambda ws: F.array_distinct(F.flatten(F.transform(ws, lambda x, k: F.transform(F.slice(ws, k + 2, F.size(ws)), lambda y: F.concat(F.least(x, y), F.greatest(x, y))))))
+    named = grouped.where("size(sounds) >= 2").join(rare, "nth", "left").select("nth", "birth", "nation", "org", "org_odds", "text", rank.alias("rank"), "rare", tags.alias("tags"), two(first(f("sounds"))).alias("two"))
+    month, hot, none = F.substring("birth", 1, 7), f("org_odds") < 3.0, F.array().cast("array<bigint>")
+    made = lambda sign, known, by, *facts: F.when(known, F.transform(by, lambda t: F.xxhash64(F.lit(sign), t, *facts))).otherwise(none)
+    own = F.array(f("text"))
     made = F.concat(
-        F.array(
-            F.when(rare & dated, key(F.lit("m"), "word", F.substring("birth", 1, 7))),
-            F.when(rare & f("org").isNotNull(), key(F.lit("o"), "word", f("org").cast("string"))),
-            F.when(~rare & (F.length("birth") == 10), key(F.lit("b"), "word", "birth")),
-        ),
-        F.when(rare & (F.length("word") > 3) & f("nation").isNotNull(), by_nation).otherwise(F.array().cast("array<string>")),
+        made("m", f("birth").isNotNull() & f("rare").isNotNull(), f("rare"), month),
+        made("d", F.length("birth") == 10, f("two"), f("birth")),
+        made("o", f("org").isNotNull() & ~hot, f("two"), f("org")),
+        made("h", f("org").isNotNull() & hot & f("nation").isNotNull(), f("tags"), f("nation"), f("org")),
+        made("k", f("org").isNotNull() & hot & f("birth").isNotNull(), f("two"), f("org"), month),
+        made("w", f("org").isNotNull() & hot, own, f("org")),
+        made("n", f("nation").isNotNull(), own, f("nation")),
     )
-    keyed = cut(each.select("nth", "rank", "birth", "nation", F.explode(F.array_compact(made)).alias("key")).withColumn("key", F.xxhash64("key")))
+    keyed = cut(named.select("nth", "rank", "birth", "nation", F.explode(F.array_distinct(made)).alias("key")))
     year = lambda side: F.substring(f(f"{side}.birth"), 1, 4).cast("int")
     fits = (f("l.birth").isNull() | f("r.birth").isNull() | (F.abs(year("l") - year("r")) <= 1)) & (f("l.nation").isNull() | f("r.nation").isNull() | (f("l.nation") == f("r.nation")) | (f("l.birth") == f("r.birth")))
     side = F.struct("sounds", "birth", "nation", "role", "org", "org_odds", "origin", "uses")

@@ -59,3 +59,26 @@ def test_variants(spark, orgs):
     assert kinds["org"] == {(2, 10)}
     assert {b for _, b in kinds["employer"]} == {106} and {a for a, _ in kinds["employer"]} == {1, 2, 3, 7, 10}
     assert spelling_variants(spark, orgs([]), staff.limit(0), titles).count() == 0
+
+
+def persons(spark, orgs, rows):
+    titles = spark.createDataFrame([("DIR", "Director")], "code string, title string")
+    got = spelling_variants(spark, orgs([]), people(spark, rows), titles).where("kind = 'person'").collect()
+    return {(r["key_a"], r["key_b"]) for r in got}
+
+
+OTHERS = "Baskorim Celtunda Dorvimex Fargostil Gremolund Hulvistar Jorbatek Lumvarest Mordivask Pelgrunto Quistamor Rovandisk".split()
+
+
+def test_misspelt_surname_with_a_frequent_given_name(spark, orgs):
+    rows = [(i, f"Andrew {s}", "wikidata", f"Q{i}", "FR", None, None, None, f"19{40 + 3 * i}-02-11", {}) for i, s in enumerate(OTHERS)]
+    rows += [
+        (101, "Andrew Keohukund", "wikidata", "Q101", "ES", "Director", "Foo", 3, "1955-01", {}),
+        (102, "Andrew Keohuknd", "sec_edgar", "102", "ES", "Director", "Foo", 3, "1955-01-07", {}),
+        (103, "Andrew Tervolast", "wikidata", "Q103", "ES", "Director", "Foo", 3, "1981-05", {}),
+        (201, "A. Broudibus", "wikidata", "Q201", "ES", "Director", "Bar", 4, None, {}),
+        (202, "Andrew Broudubus", "sec_edgar", "202", "ES", "Director", "Bar", 4, "1962-03", {}),
+        (301, "Andew Mikaltesin", "wikidata", "Q301", "ES", None, None, None, "1971-09-30", {}),
+        (302, "Andrew Mikalteson", "sec_edgar", "302", "ES", None, None, None, "1971-09-30", {}),
+    ]
+    assert persons(spark, orgs, rows) == {(101, 102), (301, 302)}
