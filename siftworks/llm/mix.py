@@ -40,7 +40,7 @@ def quotas(totals: dict[str, int], targets: dict[str, tuple[float, int]], block:
     gives its share to the others in proportion. With ``total`` (tokens), sources that cannot fill their quota within
     the cap are set to the cap and what they leave is apportioned among the others again.
     """
-    live = {k: s for k, (s, _) in targets.items() if s > 0 and totals.get(k, 0) > 0}
+    live = {k: s for k, (s, r) in targets.items() if s > 0 and totals.get(k, 0) > 0 and r}
     caps = {k: totals[k] * targets[k][1] // block for k in live}
     if not live:
         return {}, 0
@@ -63,6 +63,12 @@ def quotas(totals: dict[str, int], targets: dict[str, tuple[float, int]], block:
             del free[k]
 
 
+def fine_block(totals: dict[str, int], targets: dict[str, tuple[float, int]], block: int) -> int:
+    """The largest block up to ``block`` of which the cap of every source holds 1024, down to one token: rounding caps to whole blocks then costs a source next to nothing."""
+    caps = [totals[k] * r for k, (s, r) in targets.items() if s > 0 and totals.get(k, 0) > 0 and r]
+    return max(1, min([block, *(c // 1024 for c in caps)]))
+
+
 def mix(
     docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_tokens",
     total: int | None = None, block: int = 1024, shard_tokens: int = 8_000_000, seed: int = 20,
@@ -73,6 +79,8 @@ def mix(
     ``max_repeats``). ``report`` has a row for each listed source: ``target_share``, tokens available, ``quota_tokens``,
     ``mixed_tokens``, ``actual_share``, ``documents`` and the largest ``uses``.
 
+    ``block`` is the largest block; it is made smaller where a source is scarce (``fine_block``).
+
     The driver apportions blocks to sources and then to shards of a source, from one row per shard of about
     ``shard_tokens`` tokens. A source of any size is spread over its shards by a hash of the id, so a source that holds a
     third of all rows is selected by many tasks. Within a shard documents go in seeded order; every document is used as
@@ -88,6 +96,7 @@ def mix(
     size = F.coalesce(F.col(size_col).cast("bigint"), F.lit(0))
     sized = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("_size")).where("_size > 0").where(F.col("_source").isin(list(wanted))))
     totals = {r["_source"]: r["n"] for r in sized.groupBy("_source").agg(F.sum("_size").alias("n")).collect()}  # one row per listed source
+    block = fine_block(totals, wanted, block)
     given, _ = quotas(totals, wanted, block, total)
     shards = spark.createDataFrame([(k, max(1, -(-n // shard_tokens))) for k, n in totals.items()] or [("", 1)], "_source string, shards bigint")
     order = F.xxhash64(F.lit(seed), F.col("_id"))

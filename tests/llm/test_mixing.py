@@ -42,3 +42,14 @@ def test_mix(spark):
     assert {r["doc_id"]: r["uses"] for r in again.collect()} == uses
     empty, report = mix(docs.limit(0), targets)
     assert empty.count() == 0 and report.count() == 3
+
+
+def test_a_source_smaller_than_a_block_does_not_empty_the_mix(spark):
+    rows = [(i, "big", 10) for i in range(500)] + [(1000 + i, "tiny", 10) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("big", 0.9, 1), ("tiny", 0.1, 2)], "source string, target_share double, max_repeats int")
+    used, report = mix(docs, targets)
+    shares = {r["source"]: r for r in report.collect()}
+    assert (shares["tiny"]["mixed_tokens"], shares["big"]["mixed_tokens"]) == (60, 540)
+    assert (shares["tiny"]["actual_share"], shares["big"]["actual_share"]) == (0.1, 0.9)
+    assert used.count() == 57
