@@ -185,9 +185,9 @@ def person_entries(spark: SparkSession, people: DataFrame, roles: DataFrame | No
 def person_pairs(spark: SparkSession, people: DataFrame, roles: DataFrame | None, countries: DataFrame) -> DataFrame:
     """``(key_a, key_b)``: rows of one person whose names are not exactly equal.
 
-    Entries (equal name words and facts) meet where a rare word of their names is the same and with it the month of birth,
-    or, however common or misspelt the words are, where the initials of two words are the same and with them the day of
-    birth or the employer, or all words and the nation. An employer of more than a twentieth of all entries says little: its
+    Entries (equal name words and facts) meet where a word of their names and the initial of another one are the same and
+    with them the month of birth, or where the initials of two words are the same and with them the day of birth or the
+    employer, or all words and the nation; how common a word is makes no difference. An employer of more than a twentieth of all entries says little: its
     key also takes the month of birth, or a whole word and the nation, or all words.
     Each entry is attached to the better-ranked entry (spellings used more
     often, fuller names) with the largest posterior: log frequency, likelihood of the writing, and the odds of birth date,
@@ -202,19 +202,17 @@ def person_pairs(spark: SparkSession, people: DataFrame, roles: DataFrame | None
     grouped = cut(grouped.withColumn("text", spelling).join(uses, "text").join(cut(employers), "org", "left").select("nth", "sounds", "birth", "nation", "role", F.when(f("org").isNotNull(), F.xxhash64("org")).alias("org"), F.coalesce("org_odds", F.lit(6.0)).alias("org_odds"), "origin", "uses", "text"))
     full = F.aggregate("sounds", F.lit(0), lambda t, w: t + F.when(F.length(w) > 1, 1).otherwise(0))
     rank = f("uses") * 32 + F.least(full, F.lit(15)) * 2 + F.when(F.length("birth") == 10, 1).otherwise(0)
-    frequent = cut(grouped.select(F.explode(F.array_distinct("sounds")).alias("word")).where("length(word) >= 3").groupBy("word").count().where(f("count") > max(8.0, n**0.5 / 4)).select("word"))
-    rare = cut(grouped.select("nth", F.explode(F.array_distinct("sounds")).alias("word")).where("length(word) >= 3").join(frequent, "word", "left_anti").groupBy("nth").agg(F.collect_list("word").alias("rare")))
     first = lambda ws: F.transform(ws, lambda w: F.substring(w, 1, 1))
     # a word and the initial of another one; the initials of any two words
     tag = lambda w: F.transform(F.array_distinct(first(F.filter("sounds", lambda v: v != w))), lambda i: F.concat_ws("|", w, i))
     tags = F.flatten(F.transform(F.filter(F.array_distinct("sounds"), lambda w: F.length(w) >= 3), tag))
     two = lambda ws: F.array_distinct(F.flatten(F.transform(ws, lambda x, k: F.transform(F.slice(ws, k + 2, F.size(ws)), lambda y: F.concat(F.least(x, y), F.greatest(x, y))))))
-    named = grouped.where("size(sounds) >= 2").join(rare, "nth", "left").select("nth", "birth", "nation", "org", "org_odds", "text", rank.alias("rank"), "rare", tags.alias("tags"), two(first(f("sounds"))).alias("two"))
+    named = grouped.where("size(sounds) >= 2").select("nth", "birth", "nation", "org", "org_odds", "text", rank.alias("rank"), tags.alias("tags"), two(first(f("sounds"))).alias("two"))
     month, hot, none = F.substring("birth", 1, 7), f("org_odds") < 3.0, F.array().cast("array<bigint>")
     made = lambda sign, known, by, *facts: F.when(known, F.transform(by, lambda t: F.xxhash64(F.lit(sign), t, *facts))).otherwise(none)
     own = F.array(f("text"))
     made = F.concat(
-        made("m", f("birth").isNotNull() & f("rare").isNotNull(), f("rare"), month),
+        made("m", f("birth").isNotNull(), f("tags"), month),
         made("d", F.length("birth") == 10, f("two"), f("birth")),
         made("o", f("org").isNotNull() & ~hot, f("two"), f("org")),
         made("h", f("org").isNotNull() & hot & f("nation").isNotNull(), f("tags"), f("nation"), f("org")),

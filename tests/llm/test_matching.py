@@ -82,3 +82,14 @@ def test_misspelt_surname_with_a_frequent_given_name(spark, orgs):
         (302, "Andrew Mikalteson", "sec_edgar", "302", "ES", None, None, None, "1971-09-30", {}),
     ]
     assert persons(spark, orgs, rows) == {(101, 102), (301, 302)}
+
+
+def test_frequent_surname_with_partial_births(spark, orgs):
+    given = "Agnes Bruno Carmen Dieter Elena Felix Greta Hugo Irina Jonas Klara Ludwig".split()
+    rows = [(i, f"{g} Stibaitrind", "wikidata", f"Q{i}", "FR", None, None, None, f"19{40 + 3 * i}-02-11", {}) for i, g in enumerate(given)]
+    rows += [
+        (101, "Rosalind Stibaitrind", "wikidata", "Q101", "ES", "Director", None, None, "1955-01", {}),
+        (102, "Roslind Stibaitrind", "sec_edgar", "102", "ES", "Director", None, None, "1955-01-07", {}),
+        (103, "Rosalind Stibaitrind", "sec_edgar", "103", "ES", "Director", None, None, "1955-08", {}),
+    ]
+    assert persons(spark, orgs, rows) == {(101, 102)}
