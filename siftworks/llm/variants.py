@@ -205,7 +205,7 @@ def person_pairs(spark: SparkSession, people: DataFrame, roles: DataFrame | None
     first = lambda ws: F.transform(ws, lambda w: F.substring(w, 1, 1))
     # a word and the initial of another one; the initials of any two words
     tag = lambda w: F.transform(F.array_distinct(first(F.filter("sounds", lambda v: v != w))), lambda i: F.concat_ws("|", w, i))
-    tags = F.flatten(F.transform(F.filter(F.array_distinct("sounds"), lambda w: F.length(w) >= 3), tag))
+    tags = F.flatten(F.transform(F.array_distinct("sounds"), tag))
     two = lambda ws: F.array_distinct(F.flatten(F.transform(ws, lambda x, k: F.transform(F.slice(ws, k + 2, F.size(ws)), lambda y: F.concat(F.least(x, y), F.greatest(x, y))))))
     named = grouped.where("size(sounds) >= 2").select("nth", "birth", "nation", "org", "org_odds", "text", rank.alias("rank"), tags.alias("tags"), two(first(f("sounds"))).alias("two"))
     month, hot, none = F.substring("birth", 1, 7), f("org_odds") < 3.0, F.array().cast("array<bigint>")

@@ -93,3 +93,12 @@ def test_frequent_surname_with_partial_births(spark, orgs):
         (103, "Rosalind Stibaitrind", "sec_edgar", "103", "ES", "Director", None, None, "1955-08", {}),
     ]
     assert persons(spark, orgs, rows) == {(101, 102)}
+
+
+def test_surname_of_two_letters(spark, orgs):
+    rows = [
+        (101, "Rosalind Wu", "wikidata", "Q101", "ES", "Director", None, None, "1955-01", {}),
+        (102, "Roslind Wu", "sec_edgar", "102", "ES", "Director", None, None, "1955-01-07", {}),
+        (103, "Rosalind Wu", "sec_edgar", "103", "ES", "Director", None, None, "1955-08", {}),
+    ]
+    assert persons(spark, orgs, rows) == {(101, 102)}
