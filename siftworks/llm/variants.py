@@ -134,7 +134,13 @@ def employer_pairs(people: DataFrame, rows: DataFrame, spelled: DataFrame) -> Da
     )
     fund = f("fund").cast("string")
     run = F.when(F.size("words") == 2, F.array(F.array_join("words", ""), F.array_join(F.reverse("words"), ""))).when((F.size("words") == 1) & (F.length(F.get("words", F.lit(0))) >= 9), f("words"))
-    rules = [("word", [f("sounds"), f("business"), fund]), ("run", [run, f("business"), fund])]
+    # slips in both words: the beginning or end of each of two words; run together with a slip: the beginning or end of the whole, which is that of a word
+    ends = lambda w, n: F.array(F.concat(F.lit("<"), F.substring(w, 1, n)), F.concat(F.lit(">"), F.substring(w, -n, n)))
+    word = lambda k: F.get("sounds", F.lit(k))
+    both = F.flatten(F.transform(ends(word(0), 2), lambda x: F.transform(ends(word(1), 2), lambda y: F.concat(F.least(x, y), F.greatest(x, y)))))
+    slips = F.when(F.size("sounds") == 2, both)
+    part = F.when(F.size("words") == 2, F.flatten(F.transform("words", lambda w: ends(w, 4)))).when((F.size("words") == 1) & (F.length(F.get("words", F.lit(0))) >= 8), ends(F.get("words", F.lit(0)), 4))
+    rules = [("word", [f("sounds"), f("business"), fund]), ("run", [run, f("business"), fund]), ("slips", [slips, f("business"), fund]), ("part", [part, f("business"), fund])]
     left = keys(texts.select("nth", "words", "sounds", "business", "fund"), rules).select("key", "nth").distinct()
     right = keys(spellings.select("candidate", "words", "sounds", "business", "fund"), rules).select("key", "candidate").distinct()
     met = left.join(right, "key").select("nth", "candidate").distinct()

@@ -102,3 +102,11 @@ def test_surname_of_two_letters(spark, orgs):
         (103, "Rosalind Wu", "sec_edgar", "103", "ES", "Director", None, None, "1955-08", {}),
     ]
     assert persons(spark, orgs, rows) == {(101, 102)}
+
+
+def test_employer_with_slips_in_both_words(spark, orgs):
+    known = [(1, "Vifel Basoth Foundation Inc.", "gleif", "1", "US", None, {}), (2, "Draikrim Vouniuth Capital AG", "gleif", "2", "DE", None, {}), (3, "Sorvel Tanoth Capital AG", "gleif", "3", "DE", None, {})]
+    texts = ["Vifrl Basotj Foundation Inc.", "draikrimvuoniuth capital ag", "Nobody Basketry Foundation Inc."]
+    staff = people(spark, [(101 + i, "Some One", "wikidata", f"Q{i}", "US", None, t, None, None, {}) for i, t in enumerate(texts)])
+    got = spelling_variants(spark, orgs(known), staff).where("kind = 'employer'").collect()
+    assert {(r["key_a"], r["key_b"]) for r in got} == {(1, 101), (2, 102)}
