@@ -141,8 +141,8 @@ def employer_pairs(people: DataFrame, rows: DataFrame, spelled: DataFrame) -> Da
     slips = F.when(F.size("sounds") == 2, both)
     part = F.when(F.size("words") == 2, F.flatten(F.transform("words", lambda w: ends(w, 4)))).when((F.size("words") == 1) & (F.length(F.get("words", F.lit(0))) >= 8), ends(F.get("words", F.lit(0)), 4))
     rules = [("word", [f("sounds"), f("business"), fund]), ("run", [run, f("business"), fund]), ("slips", [slips, f("business"), fund]), ("part", [part, f("business"), fund])]
-    left = keys(texts.select("nth", "words", "sounds", "business", "fund"), rules).select("key", "nth").distinct()
-    right = keys(spellings.select("candidate", "words", "sounds", "business", "fund"), rules).select("key", "candidate").distinct()
+    left = keys(texts.select("nth", "words", "sounds", "business", "fund"), rules).select("key", "nth")
+    right = keys(spellings.select("candidate", "words", "sounds", "business", "fund"), rules).select("key", "candidate")
     met = left.join(right, "key").select("nth", "candidate").distinct()
     met = met.join(texts.select("nth", F.struct("words", "sounds", "legal", "mark").alias("a")), "nth").join(spellings.select("candidate", "cluster", F.struct("words", "sounds", "legal", "country", "rows").alias("b")), "candidate")
     form = F.when((f("a.legal") == "") | (f("b.legal") == ""), -0.5).when(f("a.legal") == f("b.legal"), 0.0).otherwise(-3.0)
@@ -226,8 +226,11 @@ def person_pairs(spark: SparkSession, people: DataFrame, roles: DataFrame | None
         made("w", f("org").isNotNull() & hot, own, f("org")),
         made("n", f("nation").isNotNull(), own, f("nation")),
     )
-    keyed = cut(named.select("nth", "rank", "birth", "nation", F.explode(F.array_distinct(made)).alias("key")))
-    year = lambda side: F.substring(f(f"{side}.birth"), 1, 4).cast("int")
+    # as numbers: a day is yyyymmdd, a month yyyymm00
+    number = F.rpad(F.regexp_replace("birth", "-", ""), 8, "0").cast("int")
+    keyed = named.select("*", F.explode(F.array_distinct(made)).alias("key")).select("nth", "rank", "key", number.alias("number"), F.when(f("nation").isNotNull(), F.hash("nation")).alias("code"))
+    keyed = cut(keyed.withColumnsRenamed({"number": "birth", "code": "nation"}))
+    year = lambda side: F.floor(f(f"{side}.birth") / 10000)
     fits = (f("l.birth").isNull() | f("r.birth").isNull() | (F.abs(year("l") - year("r")) <= 1)) & (f("l.nation").isNull() | f("r.nation").isNull() | (f("l.nation") == f("r.nation")) | (f("l.birth") == f("r.birth")))
     side = F.struct("sounds", "birth", "nation", "role", "org", "org_odds", "origin", "uses")
     met = ranked_pairs(keyed, fits).join(grouped.select(f("nth").alias("variant"), side.alias("a")), "variant").join(grouped.select(f("nth").alias("candidate"), side.alias("b")), "candidate")
