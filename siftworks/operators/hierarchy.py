@@ -17,85 +17,141 @@ def parent_links(nodes: DataFrame, id_col: str = "id", parents_col: str = "paren
     return ids, cut(links.select("child", "parent"))
 
 
-def _peel(waiting: DataFrame, links: DataFrame, free: DataFrame, gone: str, left: str) -> tuple[list[DataFrame], DataFrame]:
-    """Remove free nodes round by round: ``(what each round removed, what never became free)``.
+def _rake(ids: DataFrame, links: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame, DataFrame]:
+    """Peel leaves, nodes without children, as long as a round removes a tenth of what is left: ``(layers, nodes, links)``.
 
-    ``waiting`` has ``id``, ``n`` (links still to go) and ``best``; ``free`` has ``id`` and ``depth``. A link
-    (``gone``, ``left``) is used up when its ``gone`` end is removed. Each round reads the links of the removed nodes only;
-    they meet the waiting nodes after a partial count, so a parent of a third of all nodes costs one row a task.
+    A layer is the leaves of one round and their links; what remains holds every circle. The rounds are at most
+    logarithmic in the nodes: where leaves are few (long chains), peeling stops and ``_settle`` takes over.
     """
-    rounds = []
+    layers: list[tuple[DataFrame, DataFrame]] = []
+    n = ids.count()
+    while n:
+        seen = Observation()
+        inner = ids.join(links.select(F.col("parent").alias("id")).distinct(), "id", "left_semi")
+        inner = cut(inner.observe(seen, F.count(F.lit(1)).alias("n")))
+        if (n - seen.get["n"]) * 10 < n:
+            return layers, ids, links
+        held = inner.select(F.col("id").alias("child"), F.lit(True).alias("kept"))
+        marked = cut(links.join(held, "child", "left").select("child", "parent", F.coalesce("kept", F.lit(False)).alias("kept")))
+        layers.append((ids.join(inner, "id", "left_anti"), marked.where("not kept").select("child", "parent")))
+        ids, links, n = inner, marked.where("kept").select("child", "parent"), seen.get["n"]
+    return layers, ids, links
+
+
+def _follow(chosen: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Follow the one chosen parent of each node by pointer doubling: ``(way, circles)``.
+
+    ``chosen`` has ``id``, ``parent`` and ``hit``. ``way`` has for each id the end ``to`` of its way up, the ``steps`` to it and
+    whether any node on it was ``hit``. ``circles`` has the ids on circles of chosen parents with the smallest id of the circle
+    as ``label``; it is None if every way ends. After k rounds a way that has not ended is 2^k steps long. Of acyclic ways more
+    than 2^(k-1) would then have moved in the last round, so with 2^k at least twice the moved ones only circles and
+    what hangs on them is left, and every pointer is on its circle.
+    """
+    way = cut(chosen.select("id", F.col("parent").alias("to"), F.lit(1).cast("bigint").alias("steps"), F.col("id").alias("least"), "hit", F.lit(False).alias("done")))
+    k = 0
     while True:
-        hits = links.join(free.select(F.col("id").alias(gone), "depth"), gone).groupBy(F.col(left).alias("id"))
-        hits = hits.agg(F.count(F.lit(1)).alias("used"), F.max(F.struct("depth", (-F.col(gone)).alias("key"))).alias("seen"))
+        ahead = way.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("s2"), F.col("least").alias("l2"), F.col("hit").alias("h2"))
         seen = Observation()
-        after = (
-            waiting.join(hits, "id", "left")
-            .select("id", (F.col("n") - F.coalesce("used", F.lit(0))).alias("n"), F.greatest("best", "seen").alias("best"))
-            .observe(seen, F.count_if(F.col("n") == 0).alias("freed"))
-        )
-        after = cut(after)
-        freed = after.where("n = 0").select("id", (F.col("best.depth") + 1).alias("depth"), (-F.col("best.key")).alias("parent"))
-        if seen.get["freed"] == 0:
-            return rounds, after
-        waiting = after.where("n > 0")
-        rounds.append(freed)
-        free = freed
-        if len(rounds) % 32 == 0:
-            rounds = [cut(_all(rounds))]
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def _strong(links: DataFrame) -> DataFrame:
-    """``id`` of the nodes on a circle, of links where every node has a parent and a child.
-
-    With as many links as nodes every node lies on a circle. Otherwise colours flow down (the largest id that reaches a
-    node), marks flow back up from each colour's own node within the colour, and what is marked is one strong component;
-    it is set aside and the rest is coloured again.
+        # a way that has ended looks for a key that is none's, so that the many that end in one root don't meet in one task
+        moved = way.withColumn("key", F.when(F.col("done"), F.col("id") - (1 << 62)).otherwise(F.col("to"))).drop("done").join(ahead.withColumnRenamed("to", "key"), "key", "left").select(
+            "id", F.coalesce("to2", "to").alias("to"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"), F.least("least", "l2").alias("least"),
+            (F.col("hit") | F.coalesce("h2", F.lit(False))).alias("hit"), F.col("to2").isNull().alias("done"),
+        )
+        way = cut(moved.observe(seen, F.count_if(~F.col("done")).alias("n")), replaces=way)
+        k, n = k + 1, seen.get["n"]
+        if n == 0:
+            return way, None
+        if 2**k >= 2 * n:
+            open_ = way.where("not done").join(way.select(F.col("id").alias("to")), "to", "left_semi")
+            on = cut(open_.select(F.col("to").alias("id")).distinct())
+            return (way, None) if on.isEmpty() else (way, cut(way.join(on, "id", "left_semi").select("id", F.col("least").alias("label"))))
+
+
+def _settle(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """``(id, depth, circle, bad)``: largest number of steps from a root, whether the node is on a circle, and whether an ancestor is or it is itself.
+
+    Every node chooses one parent and the chosen ways are measured by pointer doubling. Circles of chosen parents are
+    contracted to their smallest id. Nodes prefer parents known to lie on or under a circle, then by a hash that changes
+    every time, which exposes the circles that share nodes; without such parents the one that names the most parents itself.
+    When a choice shows no circle, nodes choose anew where another parent lies deeper. Around a circle somebody always
+    finds a deeper parent, so when nobody does, the contracted graph has no circle left and the depths are the longest
+    ways. Which nodes are under a circle is found likewise, choosing parents known to be. A doubling takes as many rounds
+    as the logarithm of the longest way; lists of ancestors settle in a few choices.
     """
-    found = None
+    member: DataFrame | None = None
+    none = F.lit(False).alias("hit")
+    stuck: DataFrame | None = None  # known to lie on or under a circle
+    depth: DataFrame | None = None  # as measured last
+    turn = 0
     while True:
-        n = links.agg(F.count(F.lit(1)).alias("links"), F.count_distinct("child").alias("nodes")).first()
-        if not n["links"]:
-            return found
-        if n["links"] == n["nodes"] and n["nodes"] == links.select("parent").distinct().count():
-            ids = links.select(F.col("child").alias("id"))
-            return ids if found is None else found.unionByName(ids)
-        loops = links.where("child = parent").select(F.col("child").alias("id"))
-        nodes = links.select(F.col("child").alias("id")).union(links.select("parent")).distinct()
-        colour = cut(nodes.select("id", F.col("id").alias("colour")))
+        named = links.groupBy(F.col("child").alias("parent")).agg(F.count(F.lit(1)).alias("n"))
+        seen_by = links.join(named, "parent", "left")
+        order = [F.coalesce("n", F.lit(0)), -F.col("parent")]
+        if depth is not None:
+            seen_by = seen_by.join(depth.select(F.col("id").alias("parent"), "depth"), "parent", "left")
+            order = [F.col("depth"), *order]
+        if stuck is not None:
+            seen_by = seen_by.join(stuck.select(F.col("id").alias("parent"), F.lit(1).alias("stuck")), "parent", "left")
+            order = [F.coalesce("stuck", F.lit(0)), F.when(F.col("stuck") == 1, F.xxhash64(F.lit(turn), "parent")), *order]
+        chosen = seen_by.groupBy(F.col("child").alias("id")).agg(F.max_by("parent", F.struct(*order)).alias("parent"))
+        turn += 1
         while True:
+            way, circles = _follow(chosen.select("id", "parent", none))
+            if circles is not None:
+                break
+            depth = cut(ids.join(way.select("id", F.col("steps").alias("depth")), "id", "left").select("id", F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth")))
+            best = links.join(depth.select(F.col("id").alias("parent"), F.col("depth").alias("d")), "parent").groupBy(F.col("child").alias("id")).agg(F.max(F.struct("d", (-F.col("parent")).alias("key"))).alias("b"))
             seen = Observation()
-            down = links.join(colour.select(F.col("id").alias("parent"), F.col("colour").alias("c")), "parent").groupBy(F.col("child").alias("id")).agg(F.max("c").alias("c"))
-            moved = colour.join(down, "id", "left").select("id", F.greatest("colour", "c").alias("colour"), (F.col("c") > F.col("colour")).alias("up"))
-            colour = cut(moved.observe(seen, F.count_if("up").alias("n")).select("id", "colour"), replaces=colour)
+            best = best.join(depth, "id").select("id", (-F.col("b.key")).alias("parent"), (F.col("b.d") >= F.col("depth")).alias("deeper"))
+            chosen = cut(best.observe(seen, F.count_if("deeper").alias("n")))
             if seen.get["n"] == 0:
                 break
-        same = cut(
-            links.join(colour.select(F.col("id").alias("child"), F.col("colour").alias("c1")), "child")
-            .join(colour.select(F.col("id").alias("parent"), F.col("colour").alias("c2")), "parent")
-            .where("c1 = c2").select("child", "parent")
-        )
-        marked = cut(colour.where("id = colour").select("id"))
-        edge = marked
-        while True:
-            edge = same.join(edge.select(F.col("id").alias("child")), "child").select(F.col("parent").alias("id")).distinct().join(marked, "id", "left_anti")
-            edge = cut(edge)
-            if edge.isEmpty():
-                break
-            marked = cut(marked.unionByName(edge), replaces=marked)
-        size = colour.join(marked, "id", "left_semi").groupBy("colour").count().where("count > 1").select("colour")
-        strong = colour.join(marked, "id", "left_semi").join(size, "colour", "left_semi").select("id").unionByName(loops).distinct()
-        strong = cut(strong)
-        found = strong if found is None else found.unionByName(strong)
-        gone = marked.withColumnRenamed("id", "child")
-        links = cut(links.join(gone, "child", "left_anti").join(gone.withColumnRenamed("child", "parent"), "parent", "left_anti").select("child", "parent"))
+        if circles is None:
+            break
+        up = lambda c: circles.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+        under = way.where("not done").select("id")
+        stuck = under if stuck is None else stuck.unionByName(under)
+        stuck = cut(stuck.join(up("id"), "id", "left").select(F.coalesce("id_label", "id").alias("id")).distinct())
+        if depth is not None:
+            depth = cut(depth.join(up("id"), "id", "left").groupBy(F.coalesce("id_label", "id").alias("id")).agg(F.max("depth").alias("depth")))
+        ids = cut(ids.join(up("id"), "id", "left").select(F.coalesce("id_label", "id").alias("id")).distinct())
+        joined = links.join(up("child"), "child", "left").join(up("parent"), "parent", "left")
+        links = cut(joined.select(F.coalesce("child_label", "child").alias("child"), F.coalesce("parent_label", "parent").alias("parent")).where("child <> parent").distinct())
+        if member is None:
+            member = circles
+        else:
+            again = member.join(circles.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", "left").select("id", F.coalesce("next", "label").alias("label"))
+            member = cut(again.unionByName(circles.join(member.select("id"), "id", "left_anti")))
+    if member is None:
+        return depth.select("id", "depth", F.lit(False).alias("circle"), F.lit(False).alias("bad"))
+    bad = cut(member.select(F.col("label").alias("id")).distinct())
+    n = bad.count()
+    while True:
+        known = bad.select(F.col("id").alias("parent"), F.lit(True).alias("hit"))
+        pick = links.join(known, "parent", "left").groupBy(F.col("child").alias("id")).agg(F.max(F.struct(F.coalesce("hit", F.lit(False)).alias("hit"), (-F.col("parent")).alias("key"))).alias("b"))
+        way, _ = _follow(pick.select("id", (-F.col("b.key")).alias("parent"), F.col("b.hit").alias("hit")))
+        bad = cut(bad.unionByName(way.where("hit").select("id")).distinct())
+        before, n = n, bad.count()
+        if n == before:
+            break
+    flags = depth.join(bad.withColumn("bad", F.lit(True)), "id", "left").select("id", "depth", F.coalesce("bad", F.lit(False)).alias("bad"))
+    on = member.join(flags.withColumnRenamed("id", "label"), "label").select("id", "depth", F.lit(True).alias("circle"), "bad")
+    return cut(flags.join(on, "id", "left_anti").select("id", "depth", F.lit(False).alias("circle"), "bad").unionByName(on))
+
+
+def _placed(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """``(id, depth, circle, bad, parent)``: ``_settle`` for what peeling leaves, then the peeled layers backwards; ``parent`` is the deepest one, of equals the smallest."""
+    layers, inner, core = _rake(ids, links)
+    settled = _settle(inner, core)
+    deepest = lambda via, values: via.join(values.select(F.col("id").alias("parent"), "depth", "bad"), "parent").groupBy(F.col("child").alias("id")).agg(
+        F.max(F.struct("depth", (-F.col("parent")).alias("key"))).alias("b"), F.max("bad").alias("under")
+    )
+    whole = cut(settled.join(deepest(core, settled), "id", "left").select("id", "depth", "circle", "bad", (-F.col("b.key")).alias("parent")))
+    for leaves, via in reversed(layers):
+        got = leaves.join(deepest(via, whole), "id", "left")
+        layer = got.select("id", F.coalesce(F.col("b.depth") + 1, F.lit(0)).cast("bigint").alias("depth"), F.lit(False).alias("circle"), F.coalesce("under", F.lit(False)).alias("bad"), (-F.col("b.key")).alias("parent"))
+        whole = whole.unionByName(cut(layer))
+    return cut(whole)
 
 
 def _siblings(tree: DataFrame) -> DataFrame:
@@ -155,12 +211,12 @@ def rank_lists(elements: DataFrame, direct: int = 4_000_000, sample: int = 64) -
 def hierarchy(nodes: DataFrame, id_col: str = "id", parents_col: str = "parent_ids", direct: int = 4_000_000) -> DataFrame:
     """``(id, root_id, depth, status, parent_id, entry, exit, n_descendants)``: one row per distinct id.
 
-    Roots are peeled off level by level, which finds for each node the deepest of its listed parents, its direct one, as
-    parents may list more distant ancestors too. What never comes free lies on or under a circle; leaves are peeled off
-    that until only circles and what joins them is left. ``status`` is 'cycle' for a node that is its own ancestor, else
-    'below_cycle' if an ancestor is, else 'tree'. The tree nodes' Euler tour (down before a node, up after it) is
-    ranked as a list: a node's ``entry`` and ``exit`` are its positions in the tour of its root, so a is an ancestor of b
-    when a's interval holds b's; ``depth`` is the downs less the ups before it, ``n_descendants`` (exit - entry) / 2.
+    Leaves are peeled off while there are many, which exposes the circles; the direct parent of a node, the deepest of those it
+    names, is found by ``_settle``. ``status`` is 'cycle' for a node that is its own ancestor, else 'below_cycle' if an
+    ancestor is, else 'tree'. The tree nodes' Euler tour (down before a node, up after it) is ranked as a list: a
+    node's ``entry`` and ``exit`` are its positions in the tour of its root, so a is an ancestor of b when a's interval
+    holds b's; ``depth`` is the downs less the ups before it, ``n_descendants`` (exit - entry) / 2. Rounds grow with the
+    logarithm of the nodes and not with the depth.
 
     For 'cycle' and 'below_cycle' root_id, depth, entry, exit, n_descendants and parent_id are -1; a root's parent_id is -1 too.
 
@@ -169,24 +225,9 @@ def hierarchy(nodes: DataFrame, id_col: str = "id", parents_col: str = "parent_i
     not read; an empty table gives an empty result. Ids lie within 2^61 of 0.
     """
     ids, links = parent_links(nodes, id_col, parents_col)
-    n = links.groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    roots = cut(ids.join(n, "id", "left_anti").select("id", F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("parent")))
-    none = F.lit(None).cast("struct<depth:int,key:bigint>").alias("best")
-    rounds, stuck = _peel(n.select("id", "n", none), links, roots, "parent", "child")
-    forest = cut(_all([roots, *rounds]))
-    status = forest.select("id", F.lit("tree").alias("status"))
-    stuck = stuck.where("n > 0").select("id")
-    if not stuck.isEmpty():
-        stuck = cut(stuck)
-        within = cut(links.join(stuck.withColumnRenamed("id", "child"), "child", "left_semi").join(stuck.withColumnRenamed("id", "parent"), "parent", "left_semi").select("child", "parent"))
-        n_children = within.groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-        leaves = stuck.join(n_children, "id", "left_anti").select("id", F.lit(0).alias("depth"))
-        _, core = _peel(n_children.select("id", "n", none), within, leaves, "child", "parent")
-        core = core.where("n > 0").select("id")
-        core_links = cut(within.join(core.withColumnRenamed("id", "child"), "child", "left_semi").join(core.withColumnRenamed("id", "parent"), "parent", "left_semi").select("child", "parent"))
-        circle = _strong(core_links)
-        bad = stuck.join(circle.withColumn("on", F.lit(True)), "id", "left").select("id", F.when(F.col("on"), "cycle").otherwise("below_cycle").alias("status"))
-        status = status.unionByName(bad)
+    placed = _placed(ids, links)
+    status = placed.select("id", F.when(F.col("circle"), "cycle").when(F.col("bad"), "below_cycle").otherwise("tree").alias("status"))
+    forest = placed.where("not bad").select("id", "parent")
     tree = forest.where("parent is not null").select(F.col("id").alias("child"), "parent")
     down, up = (lambda c: c * 2), (lambda c: c * 2 + 1)
     first = tree.groupBy(F.col("parent").alias("id")).agg(F.min("child").alias("first"))

@@ -51,5 +51,17 @@ deep as (select id, max(depth) as depth, arg_max(root_id, depth) as root_id from
 
 ORACLES = {
     "p2_found": _REACH + "select id, root_id::bigint as root_id, depth::bigint as depth, 'tree' as status from deep union all select id, -1, -1, status from bad",
+    "p2_paths": _REACH + """,
+direct as (
+  select l.child as id, first(l.parent order by d.depth desc, l.parent) as parent
+  from link l join deep d on d.id = l.parent where l.child in (select id from good) group by l.child),
+way as (
+  select id, id::varchar as path, id as root_id, 0 as steps from good where id not in (select child from link)
+  union all
+  select t.id, w.path || '/' || t.id, w.root_id, w.steps + 1 from way w join direct t on t.parent = w.id),
+below as (select a.a::bigint as id, count(*) - 1 as n from way, unnest(string_split(path, '/')) as a(a) group by all)
+select l.id, lower(trim(l.simplified_type)) as simplified_type, coalesce(b.status, 'tree') as status, coalesce(w.root_id, -1)::bigint as root_id,
+  coalesce(w.steps, -1)::bigint as depth, coalesce(n.n, -1)::bigint as n_descendants, w.path
+from locations l left join bad b on b.id = l.id left join way w on w.id = l.id left join below n on n.id = l.id""",
     "p2_descendants": _REACH + "select r.parent as ancestor_id, r.child as descendant_id from reach r where r.child in (select id from deep)",
 }
