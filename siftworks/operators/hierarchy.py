@@ -100,7 +100,9 @@ def _settle(ids: DataFrame, links: DataFrame) -> DataFrame:
             if circles is not None:
                 break
             depth = cut(ids.join(way.select("id", F.col("steps").alias("depth")), "id", "left").select("id", F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth")))
-            best = links.join(depth.select(F.col("id").alias("parent"), F.col("depth").alias("d")), "parent").groupBy(F.col("child").alias("id")).agg(F.max(F.struct("d", (-F.col("parent")).alias("key"))).alias("b"))
+            # of equally deep parents the chosen one stays: only what lies deeper is a change
+            known = links.join(depth.select(F.col("id").alias("parent"), F.col("depth").alias("d")), "parent").join(chosen.select(F.col("id").alias("child"), F.col("parent").alias("now")), "child")
+            best = known.groupBy(F.col("child").alias("id")).agg(F.max(F.struct("d", F.col("parent") == F.col("now"), (-F.col("parent")).alias("key"))).alias("b"))
             seen = Observation()
             best = best.join(depth, "id").select("id", (-F.col("b.key")).alias("parent"), (F.col("b.d") >= F.col("depth")).alias("deeper"))
             chosen = cut(best.observe(seen, F.count_if("deeper").alias("n")))
