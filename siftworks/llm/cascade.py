@@ -10,14 +10,27 @@ from .canonical import canonical_countries
 from .orgs import edits, entries, joined, keys, same_words, years_apart
 
 
+def _ends(word: Column, n: int) -> Column:
+    """The beginning and the end of a word, ``n`` letters each: a slip leaves one of them."""
+    return F.array(F.concat(F.lit("<"), F.substring(word, 1, n)), F.concat(F.lit(">"), F.substring(word, -n, n)))
+
+
 def _rules() -> list[tuple[str, list[Column]]]:
-    """From the strongest combination of attributes to the weakest. The first column of each is an array."""
+    """From the strongest combination of attributes to the weakest. The first column of each is an array.
+
+    Combinations that many organizations of one place share also take a piece of a word, the beginning or end of another
+    one or of either: a pair that ``agree`` accepts has one in common, and a frequent combination falls into small keys.
+    """
     c = F.col
     whole = F.when(F.size("sounds") >= 2, F.array(F.array_join("sounds", " ")))
     each = F.when(F.size("sounds") > 0, c("sounds"))
     run = F.when(F.size("words") == 2, F.array(F.array_join("words", ""), F.array_join(F.reverse("words"), ""))).when((F.size("words") == 1) & (F.length(F.get("words", F.lit(0))) >= 9), c("words"))
     business = F.when(c("business") != "", c("business"))
     fund = c("fund").cast("string")
+    others = lambda w: F.filter("sounds", lambda v: v != w)
+    beside = F.flatten(F.transform("sounds", lambda w: F.transform(F.flatten(F.transform(others(w), lambda v: _ends(v, 2))), lambda e: F.concat_ws("|", w, e))))
+    pieces = F.flatten(F.transform("sounds", lambda w: _ends(w, 3)))
+    alone = F.when(F.size("sounds") == 1, c("sounds"))
     return [
         ("name, country, day", [whole, business, fund, c("country"), c("day")]),
         ("name, country, city", [whole, business, fund, c("country"), c("city")]),
@@ -28,22 +41,19 @@ def _rules() -> list[tuple[str, list[Column]]]:
         ("word, city, day", [each, fund, c("city"), c("day")]),
         ("name without business, country", [whole, fund, c("country")]),
         ("name run together, country", [run, business, fund, c("country")]),
-        ("word, country", [each, business, fund, c("country")]),
-        ("word, city", [each, business, fund, c("city")]),
+        ("word and part of another, country", [beside, business, fund, c("country")]),
+        ("word and part of another, city", [beside, business, fund, c("city")]),
+        ("single word, country", [alone, business, fund, c("country")]),
         ("name anywhere", [whole, business, fund]),
         ("city, day", [F.array("city"), c("day")]),
         ("phone, city", [F.array("phone"), c("city")]),
         ("street, city", [F.array("street"), c("city")]),
         ("phone, street", [F.array("phone"), c("street")]),
-        ("city, business, country", [F.array("city"), business, fund, c("country")]),
-        ("day, business, country", [F.array("day"), business, fund, c("country")]),
+        ("parts of words, city, business, country", [pieces, c("city"), business, fund, c("country")]),
+        ("parts of words, day, business, country", [pieces, c("day"), business, fund, c("country")]),
     ]
 
 
-#: The passes: rules of one strength are joined together. Numbers of ``_rules``.
-TIERS = ((0, 1), (2, 3), (4, 5, 6), (7, 8), (9, 10, 11), (12, 13, 14, 15, 16, 17))
-
-
 def agree(a: str = "a", b: str = "b") -> Column:
     """The facts of two entries don't contradict each other, and more than a name speaks for them where the name alone is weak."""
     x, y = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))
@@ -70,74 +80,108 @@ def agree(a: str = "a", b: str = "b") -> Column:
     return by_name | by_facts
 
 
+#: The last rule: equal partners. Its key is the unit in a third source that both were matched with.
+PARTNER = "same partner"
+FACTS = ("sounds", "words", "business", "fund", "country", "day", "city", "phone", "street")
+
+
+def _spelled(whole: DataFrame, *more: str) -> DataFrame:
+    """Distinct entries of a unit and source, numbered."""
+    return cut(whole.groupBy("unit", "source", *FACTS, *more).agg(F.count(F.lit(1)).alias("rows")).drop("rows").withColumn("nth", F.monotonically_increasing_id()))
+
+
+def _keyed(spelled: DataFrame, rules: list[tuple[str, list[Column]]]) -> DataFrame:
+    """``(rule, key, nth, unit, source, sources)``: the keys that two sources share, with the hashes of those sources.
+
+    One file per rule, so that a pass reads its own keys only.
+    """
+    keyed = cut(keys(spelled.select("unit", F.hash("source").alias("source"), "nth", *FACTS), rules).select("rule", "key", "nth", "unit", "source").distinct())
+    shared = keyed.groupBy("rule", "key").agg(F.collect_set("source").alias("sources")).where("size(sources) > 1")  # a set of the table's few sources
+    return cut(keyed.join(shared, ["rule", "key"]).repartition("rule", "key"), replaces=keyed, by="rule")
+
+
+def _compared(met: DataFrame, spelled: DataFrame, *more: str) -> DataFrame:
+    """The pairs ``(n1, n2)`` with their facts ``a`` and ``b``, those that contradict each other left out."""
+    facts = F.struct(*FACTS, *more)
+    return met.join(spelled.select(F.col("nth").alias("n1"), facts.alias("a")), "n1").join(spelled.select(F.col("nth").alias("n2"), facts.alias("b")), "n2").where(agree())
+
+
+def rule_precision(spark: SparkSession, orgs: DataFrame, countries: DataFrame) -> DataFrame:
+    """``(rule, right, labelled, confidence)`` of each rule on labelled pairs, the LEIs hidden.
+
+    Labelled are pairs of rows of different sources that both have an LEI: right if it is the same. Nothing of the labels
+    reaches the rules: rows are not joined by LEI and nothing is filled in from other rows. A pair counts for the first rule
+    that finds it. Confidence is smoothed by one pair of either kind.
+    """
+    rules = _rules()
+    labelled = entries(orgs, countries, by_lei=False).where("lei is not null")
+    spelled = _spelled(labelled, "lei")
+    keyed = _keyed(spelled, rules)
+    left, right = keyed.select("rule", "key", F.col("nth").alias("n1"), F.col("source").alias("s1")), keyed.select("rule", "key", F.col("nth").alias("n2"), F.col("source").alias("s2"))
+    met = left.join(right, ["rule", "key"]).where("n1 < n2 and s1 <> s2").groupBy("n1", "n2").agg(F.min("rule").alias("rule"))
+    judged = cut(_compared(met, spelled, "lei").select(F.col("n1").alias("u1"), F.col("n2").alias("u2"), "rule", "a.lei", F.col("b.lei").alias("other")))
+    third = _partners(judged.select("u1", "u2").union(judged.select("u2", "u1")), spelled.withColumn("unit", F.col("nth")))
+    tag = spelled.select("nth", "lei", "source")
+    third = third.join(tag.toDF("u1", "lei", "s1"), "u1").join(tag.toDF("u2", "other", "s2"), "u2").where("s1 <> s2").select("u1", "u2", F.lit(len(rules)).alias("rule"), "lei", "other")
+    judged = judged.unionByName(third).groupBy("rule").agg(F.count_if(F.col("lei") == F.col("other")).alias("right"), F.count(F.lit(1)).alias("labelled"))
+    titles = spark.createDataFrame([*((k, n) for k, (n, _) in enumerate(rules)), (len(rules), PARTNER)], "rule int, rule_name string")
+    both = F.coalesce("right", F.lit(0)), F.coalesce("labelled", F.lit(0))
+    return cut(titles.join(judged, "rule", "left").select("rule", "rule_name", both[0].alias("right"), both[1].alias("labelled"), ((both[0] + 1) / (both[1] + 2)).alias("confidence")))
+
+
 def match_sources(spark: SparkSession, orgs: DataFrame) -> DataFrame:
     """``(unit_a, unit_b, rule, confidence)``: pairs of units that are one legal entity, with at least two sources between them.
 
-    A unit is the rows joined by a source record or an LEI. The rules of ``_rules`` are joined in the passes of ``TIERS``, from the
-    strongest on, each on the equality of its attributes; a pair must also pass ``agree``. A unit that found its partner in
-    another source is resolved for that source: later, weaker passes take pairs with an unresolved side only.
-    Pairs that a unit matched twice over are closed by one step (a-b and b-c give a-c, if they agree).
+    A unit is the rows joined by a source record or an LEI. The rules of ``_rules`` are joined one after another, from the
+    strongest on, each on the equality of its attributes; a pair must also pass ``agree``. A unit that found its partner
+    in another source is resolved for that source. The last rule joins units on their partner: two that were matched with
+    one unit of a third source, if nothing known of them differs (``_partners``). Before each pass the units that are resolved for all sources
+    that share their key leave it by an anti-join, and an open unit meets entries of the sources only that it is open for.
 
-    ``confidence`` is the rule's precision on labelled pairs, smoothed by one pair of either kind: candidate pairs across
-    sources in which both rows have an LEI, right if it is the same.
+    ``confidence`` is the rule's precision on labelled pairs (``rule_precision``).
 
     Keys are 64-bit hashes; equal spellings of a unit meet once. NULL or blank attributes make no key, so a missing value never
     matches a missing one. Unusable names have no words and can match by facts only. Empty tables give no pairs.
     """
     countries = cut(canonical_countries(spark, orgs.select(F.col("region").alias("value"))).where("code is not null").select("value", "code"))
+    precision = rule_precision(spark, orgs, countries)
     whole = entries(orgs, countries)
-    spelled = whole.groupBy("unit", "source", "sounds", "words", "business", "fund", *("country", "day", "city", "phone", "street")).agg(F.min("lei").alias("lei"))
-    spelled = cut(spelled.withColumn("nth", F.monotonically_increasing_id()))
+    spelled = _spelled(whole)
     rules = _rules()
-    keyed = keys(spelled.select("unit", "source", "nth", "lei", "sounds", "words", "business", "fund", "country", "day", "city", "phone", "street"), rules)
-    keyed = cut(keyed.select("rule", "key", "nth", "unit", "source").distinct())
-    shared = keyed.groupBy("rule", "key").agg(F.min("unit").alias("u1"), F.max("unit").alias("u2"), F.min("source").alias("s1"), F.max("source").alias("s2"))
-    shared = shared.where("(u1 <> u2 or s1 <> s2)").select("rule", "key")  # a key that one unit has alone can't match
-    keyed = cut(keyed.join(shared, ["rule", "key"], "left_semi"), replaces=keyed)
-    facts = spelled.select(F.col("nth"), F.struct("lei", "sounds", "words", "business", "fund", "country", "day", "city", "phone", "street").alias("f"))
+    keyed = _keyed(spelled, rules)
     found: DataFrame | None = None
-    for tier in TIERS:
-        own = keyed.where(F.col("rule").isin(*tier))
-        left = own.select("key", "rule", F.col("nth").alias("n1"), F.col("unit").alias("u1"), F.col("source").alias("s1"))
+    have: DataFrame | None = None  # the sources that a unit is resolved for
+    for k in range(len(rules)):
+        own = keyed.where(F.col("rule") == k)
+        open_ = own.withColumn("open", F.array_except("sources", F.array("source")))
+        if have is not None:
+            open_ = open_.join(have, "unit", "left").withColumn("open", F.when(F.col("have").isNull(), F.col("open")).otherwise(F.array_except("open", "have"))).where("size(open) > 0")
+        left = open_.select("key", "open", F.col("nth").alias("n1"), F.col("unit").alias("u1"), F.col("source").alias("s1"))
         right = own.select("key", F.col("nth").alias("n2"), F.col("unit").alias("u2"), F.col("source").alias("s2"))
-        met = left.join(right, "key").where("s1 <> s2 and u1 <= u2 and n1 <> n2").groupBy("n1", "n2", "u1", "u2", "s1", "s2").agg(F.min("rule").alias("rule"))
-        if found is not None:
-            done = found.select("unit_a", "unit_b", "sa", "sb")
-            resolved = done.select(F.col("unit_a").alias("u"), F.col("sb").alias("s")).union(done.select("unit_b", "sa")).distinct()
-            a = resolved.select(F.col("u").alias("u1"), F.col("s").alias("s2"), F.lit(True).alias("r1"))
-            b = resolved.select(F.col("u").alias("u2"), F.col("s").alias("s1"), F.lit(True).alias("r2"))
-            met = met.join(a, ["u1", "s2"], "left").join(b, ["u2", "s1"], "left").where("r1 is null or r2 is null").drop("r1", "r2")
-        fine = (
-            met.join(facts.select(F.col("nth").alias("n1"), F.col("f").alias("a")), "n1")
-            .join(facts.select(F.col("nth").alias("n2"), F.col("f").alias("b")), "n2")
-            .where(agree())
-            .groupBy("u1", "u2", "s1", "s2")
-            .agg(F.min("rule").alias("rule"), F.max(F.coalesce(F.col("a.lei") == F.col("b.lei"), F.lit(False))).alias("same_lei"), F.max(F.col("a.lei").isNotNull() & F.col("b.lei").isNotNull()).alias("labelled"))
-        )
-        fine = fine.select(F.col("u1").alias("unit_a"), F.col("u2").alias("unit_b"), F.col("s1").alias("sa"), F.col("s2").alias("sb"), "rule", "same_lei", "labelled")
-        found = cut(fine if found is None else found.unionByName(fine), replaces=found)
-    right = F.count_if(F.col("same_lei") | (F.col("unit_a") == F.col("unit_b")))
-    precision = found.where("labelled").groupBy("rule").agg(((right + 1) / (F.count(F.lit(1)) + 2)).alias("confidence"))
-    titles = spark.createDataFrame([(k, n) for k, (n, _) in enumerate(rules)], "rule int, rule_name string")
-    direct = found.where("unit_a <> unit_b").groupBy("unit_a", "unit_b").agg(F.min("rule").alias("rule"))
-    direct = cut(direct.join(F.broadcast(precision), "rule", "left").join(F.broadcast(titles), "rule").select("unit_a", "unit_b", F.col("rule_name").alias("rule"), F.round(F.coalesce("confidence", F.lit(0.5)), 4).alias("confidence")))
-    return direct.unionByName(_closed(direct, whole))
-
-
-def _closed(direct: DataFrame, whole: DataFrame) -> DataFrame:
-    """Pairs two steps apart that agree in fund, business and country, with the product of both confidences."""
-    steps = direct.select("unit_a", "unit_b", "confidence").union(direct.select("unit_b", "unit_a", "confidence"))
-    first = steps.select(F.col("unit_b").alias("via"), F.col("unit_a").alias("u1"), F.col("confidence").alias("c1"))
-    second = steps.select(F.col("unit_a").alias("via"), F.col("unit_b").alias("u2"), F.col("confidence").alias("c2"))
-    two = first.join(second, "via").where("u1 < u2").groupBy("u1", "u2").agg(F.max(F.col("c1") * F.col("c2")).alias("c"))
-    two = two.join(direct.select(F.col("unit_a").alias("u1"), F.col("unit_b").alias("u2")), ["u1", "u2"], "left_anti")
-    face = whole.where(F.size("sounds") > 0).groupBy("unit").agg(F.max("fund").alias("fund"), F.min(F.when(F.col("business") != "", F.col("business"))).alias("business"), F.min("country").alias("country"))
-    two = two.join(face.select(F.col("unit").alias("u1"), F.struct("fund", "business", "country").alias("a")), "u1", "left")
-    two = two.join(face.select(F.col("unit").alias("u2"), F.struct("fund", "business", "country").alias("b")), "u2", "left")
-    fits = F.lit(True)
-    for f in ("fund", "business", "country"):
+        met = left.join(right, "key").where(F.array_contains("open", F.col("s2")) & (F.col("n1") != F.col("n2"))).select("n1", "n2", "u1", "u2", "s1", "s2").distinct()
+        fine = _compared(met, spelled).select("u1", "u2", "s1", "s2")
+        fine = fine.unionByName(fine.select(F.col("u2").alias("u1"), F.col("u1").alias("u2"), F.col("s2").alias("s1"), F.col("s1").alias("s2"))).distinct().withColumn("rule", F.lit(k))
+        fine = cut(fine)
+        found = fine if found is None else found.unionByName(fine)
+        new = fine.groupBy(F.col("u1").alias("unit")).agg(F.collect_set("s2").alias("have"))
+        if have is not None:
+            new = have.unionByName(new).groupBy("unit").agg(F.array_distinct(F.flatten(F.collect_list("have"))).alias("have"))
+        have = cut(new, replaces=have)
+    third = _partners(found.where("u1 <> u2").select("u1", "u2").distinct(), spelled).withColumn("rule", F.lit(len(rules)))
+    direct = found.where("u1 < u2").select("u1", "u2", "rule").unionByName(third).groupBy(F.col("u1").alias("unit_a"), F.col("u2").alias("unit_b")).agg(F.min("rule").alias("rule"))
+    return direct.join(F.broadcast(precision), "rule").select("unit_a", "unit_b", F.col("rule_name").alias("rule"), F.round("confidence", 4).alias("confidence"))  # precision has a row a rule
+
+
+def _partners(matched: DataFrame, spelled: DataFrame) -> DataFrame:
+    """``(u1, u2)``, u1 < u2, of the units joined on an equal partner; ``matched`` has every pair in both directions. Fund, business and country must not differ."""
+    facts = ("fund", "business", "country")
+    face = spelled.where(F.size("sounds") > 0).groupBy("unit").agg(F.max("fund").alias("fund"), F.min(F.when(F.col("business") != "", F.col("business"))).alias("business"), F.min("country").alias("country"))
+    held = cut(matched.join(face.withColumnRenamed("unit", "u1"), "u1", "left").select(F.col("u2").alias("via"), F.col("u1").alias("unit"), *facts))
+    a, b = held.alias("a"), held.alias("b")
+    fits = (F.col("a.via") == F.col("b.via")) & (F.col("a.unit") < F.col("b.unit"))
+    for f in facts:
         fits = fits & F.coalesce(F.col(f"a.{f}") == F.col(f"b.{f}"), F.lit(True))
-    return two.where(fits).select(F.col("u1").alias("unit_a"), F.col("u2").alias("unit_b"), F.lit("through a third").alias("rule"), F.round("c", 4).alias("confidence"))
+    return a.join(b, fits).select(F.col("a.unit").alias("u1"), F.col("b.unit").alias("u2")).distinct()
 
 
 def row_pairs(orgs: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
