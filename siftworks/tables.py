@@ -64,11 +64,12 @@ def _sweep() -> None:
             return
 
 
-def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+def cut(df: DataFrame, replaces: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there and survives lost executors.
 
     ``replaces`` is an earlier result of ``cut`` that nothing needs any more; its files are removed once the new ones
-    are complete, so that a loop holds two generations at most.
+    are complete, so that a loop holds two generations at most. ``by`` is a column of few values that the files are
+    parted by, so that a filter on it reads those only.
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
@@ -77,7 +78,7 @@ def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
             atexit.register(_sweep)
         _folders.add(folder)
     path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     if replaces is not None and getattr(replaces, "_cut_path", None):
