@@ -101,22 +101,27 @@ def canonical_codes(
     )
     hit = asked.join(known, "alias").groupBy("value").agg(F.max_by("code", F.struct("size", "alias")).alias("code"))
     sure = cut(hit.select("value", "code", F.lit(1.0).alias("score")))
-    open_ = distinct.join(sure, "value", "left_anti").where(F.length("norm") >= least_length)
-    fuzzy = cut(entries.withColumn("alias", normalise(F.col("alias"))).where(F.length("alias") >= least_length).select("code", "alias").distinct())
-    index = fuzzy.withColumn("gram", F.explode(grams(F.col("alias"))))
+    open_ = cut(distinct.join(sure, "value", "left_anti").where(F.length("norm") >= least_length).select("value", "norm").withColumn("v", F.monotonically_increasing_id()))
+    fuzzy = cut(entries.withColumn("alias", normalise(F.col("alias"))).where(F.length("alias") >= least_length).select("code", "alias").distinct().withColumn("a", F.monotonically_increasing_id()))
+    index = fuzzy.select("a", F.explode(grams(F.col("alias"))).alias("gram"))
     n = fuzzy.count()
     rarity = index.groupBy("gram").agg(F.log(F.lit(n + 1.0) / F.count(F.lit(1))).alias("w"))
     index = cut(index.join(rarity, "gram"))
-    norms = index.groupBy("code", "alias").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("alias_norm"))
-    broken = open_.select("value", "norm", F.explode(grams(F.col("norm"))).alias("gram"))
+    norms = index.groupBy("a").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("alias_norm"))
+    # spread by value before the index multiplies the rows, in as many tasks as the session asks for
+    spread = open_.repartition(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v")
+    broken = spread.select("v", F.explode(grams(F.col("norm"))).alias("gram"))
     weights = index.select("gram", F.col("w").alias("gw")).distinct()
     weighed = cut(broken.join(weights, "gram", "left").withColumn("gw", F.coalesce("gw", F.log(F.lit(n + 1.0)) / 2)))
-    value_norms = weighed.groupBy("value", "norm").agg(F.sqrt(F.sum(F.col("gw") ** 2)).alias("value_norm"))
-    met = weighed.join(index, "gram").groupBy("value", "norm", "code", "alias").agg(F.sum(F.col("gw") * F.col("w")).alias("dot"))
-    scored = met.join(norms, ["code", "alias"]).join(value_norms, ["value", "norm"])
-    scored = scored.withColumn("score", F.col("dot") / (F.col("alias_norm") * F.col("value_norm"))).where(F.col("score") >= 0.15)
-    letters = lambda c: F.array_sort(F.split(c, ""))
+    value_norms = weighed.groupBy("v").agg(F.sqrt(F.sum(F.col("gw") ** 2)).alias("value_norm"))
+    met = weighed.join(index, "gram").groupBy("v", "a").agg(F.sum(F.col("gw") * F.col("w")).alias("dot"))
+    scored = met.join(fuzzy.join(norms, "a"), "a").join(open_.join(value_norms, "v"), "v")
+    near = F.floor(F.greatest(F.length("norm") / 4.0, F.lit(1.0)))
     bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    # neither close by cosine nor, by their lengths, within the edits allowed: such a pair decides nothing below
+    possible = (F.col("score") >= threshold - margin) | (F.abs(F.length(bare("norm")) - F.length(bare("alias"))) <= near)
+    scored = scored.withColumn("score", F.col("dot") / (F.col("alias_norm") * F.col("value_norm"))).where(possible)
+    letters = lambda c: F.array_sort(F.split(c, ""))
     edits = F.levenshtein(bare("norm"), bare("alias"))
     scored = scored.withColumn("away", F.when((edits == 2) & (letters("norm") == letters("alias")), 1).otherwise(edits))  # two swapped letters are one edit
     per_code = cut(scored.groupBy("value", "norm", "code").agg(F.max("score").alias("score"), F.min("away").alias("away")))
@@ -124,7 +129,6 @@ def canonical_codes(
     by_edits = Window.partitionBy("value").orderBy("away", F.desc("score"), "code")
     marked = per_code.withColumn("k", F.row_number().over(by_score)).withColumn("next", F.lead("score", 1, 0.0).over(by_score))
     marked = marked.withColumn("e", F.row_number().over(by_edits)).withColumn("next_away", F.lead("away", 1, 99).over(by_edits))
-    near = F.floor(F.greatest(F.length("norm") / 4.0, F.lit(1.0)))
     typed = (F.col("e") == 1) & (F.col("away") <= near) & (F.col("away") < F.col("next_away"))
     close = (F.col("k") == 1) & (F.col("score") >= threshold) & (F.col("score") - F.col("next") >= margin) & (F.col("away") <= F.greatest(F.length("norm") * 0.5, F.lit(2.0)))
     taken = marked.where(typed | close).groupBy("value").agg(F.max_by("code", F.struct(typed, "score")).alias("code"), F.max("score").alias("score"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..tables import cut
 from .canonical import canonical_countries
-from .orgs import edits, entries, joined, keys, same_words, years_apart
+from .orgs import edits, filled_entries, joined, keys, own_entries, same_words, years_apart
 
 
 def _ends(word: Column, n: int) -> Column:
@@ -106,16 +106,15 @@ def _compared(met: DataFrame, spelled: DataFrame, *more: str) -> DataFrame:
     return met.join(spelled.select(F.col("nth").alias("n1"), facts.alias("a")), "n1").join(spelled.select(F.col("nth").alias("n2"), facts.alias("b")), "n2").where(agree())
 
 
-def rule_precision(spark: SparkSession, orgs: DataFrame, countries: DataFrame) -> DataFrame:
-    """``(rule, right, labelled, confidence)`` of each rule on labelled pairs, the LEIs hidden.
+def rule_precision(spark: SparkSession, own: DataFrame) -> DataFrame:
+    """``(rule, rule_name, right, labelled, confidence)`` of each rule on labelled pairs, the LEIs hidden; ``own`` is from ``own_entries``.
 
     Labelled are pairs of rows of different sources that both have an LEI: right if it is the same. Nothing of the labels
     reaches the rules: rows are not joined by LEI and nothing is filled in from other rows. A pair counts for the first rule
     that finds it. Confidence is smoothed by one pair of either kind.
     """
     rules = _rules()
-    labelled = entries(orgs, countries, by_lei=False).where("lei is not null")
-    spelled = _spelled(labelled, "lei")
+    spelled = _spelled(own.where("lei is not null").withColumn("unit", F.col("id")), "lei")
     keyed = _keyed(spelled, rules)
     left, right = keyed.select("rule", "key", F.col("nth").alias("n1"), F.col("source").alias("s1")), keyed.select("rule", "key", F.col("nth").alias("n2"), F.col("source").alias("s2"))
     met = left.join(right, ["rule", "key"]).where("n1 < n2 and s1 <> s2").groupBy("n1", "n2").agg(F.min("rule").alias("rule"))
@@ -144,31 +143,27 @@ def match_sources(spark: SparkSession, orgs: DataFrame) -> DataFrame:
     matches a missing one. Unusable names have no words and can match by facts only. Empty tables give no pairs.
     """
     countries = cut(canonical_countries(spark, orgs.select(F.col("region").alias("value"))).where("code is not null").select("value", "code"))
-    precision = rule_precision(spark, orgs, countries)
-    whole = entries(orgs, countries)
-    spelled = _spelled(whole)
+    own = own_entries(orgs, countries)
+    precision = rule_precision(spark, own)
+    spelled = _spelled(filled_entries(orgs, own))
     rules = _rules()
     keyed = _keyed(spelled, rules)
     found: DataFrame | None = None
-    have: DataFrame | None = None  # the sources that a unit is resolved for
     for k in range(len(rules)):
         own = keyed.where(F.col("rule") == k)
         open_ = own.withColumn("open", F.array_except("sources", F.array("source")))
-        if have is not None:
-            open_ = open_.join(have, "unit", "left").withColumn("open", F.when(F.col("have").isNull(), F.col("open")).otherwise(F.array_except("open", "have"))).where("size(open) > 0")
+        if found is not None:  # the sources that a unit is resolved for
+            have = found.select(F.col("u1").alias("unit"), "s2").union(found.select("u2", "s1")).groupBy("unit").agg(F.collect_set("s2").alias("have"))
+            open_ = open_.join(have, "unit", "left").withColumn("open", F.array_except("open", F.coalesce("have", F.array().cast("array<int>")))).where("size(open) > 0")
         left = open_.select("key", "open", F.col("nth").alias("n1"), F.col("unit").alias("u1"), F.col("source").alias("s1"))
         right = own.select("key", F.col("nth").alias("n2"), F.col("unit").alias("u2"), F.col("source").alias("s2"))
-        met = left.join(right, "key").where(F.array_contains("open", F.col("s2")) & (F.col("n1") != F.col("n2"))).select("n1", "n2", "u1", "u2", "s1", "s2").distinct()
-        fine = _compared(met, spelled).select("u1", "u2", "s1", "s2")
-        fine = fine.unionByName(fine.select(F.col("u2").alias("u1"), F.col("u1").alias("u2"), F.col("s2").alias("s1"), F.col("s1").alias("s2"))).distinct().withColumn("rule", F.lit(k))
-        fine = cut(fine)
-        found = fine if found is None else found.unionByName(fine)
-        new = fine.groupBy(F.col("u1").alias("unit")).agg(F.collect_set("s2").alias("have"))
-        if have is not None:
-            new = have.unionByName(new).groupBy("unit").agg(F.array_distinct(F.flatten(F.collect_list("have"))).alias("have"))
-        have = cut(new, replaces=have)
-    third = _partners(found.where("u1 <> u2").select("u1", "u2").distinct(), spelled).withColumn("rule", F.lit(len(rules)))
-    direct = found.where("u1 < u2").select("u1", "u2", "rule").unionByName(third).groupBy(F.col("u1").alias("unit_a"), F.col("u2").alias("unit_b")).agg(F.min("rule").alias("rule"))
+        met = left.join(right, "key").where(F.array_contains("open", F.col("s2")) & (F.col("n1") != F.col("n2"))).select("n1", "n2", "u1", "u2", "s1", "s2")
+        fine = _compared(met, spelled).select("u1", "u2", "s1", "s2", F.lit(k).alias("rule"))
+        found = cut((fine if found is None else found.unionByName(fine)).hint("rebalance"), replaces=found)  # few files, whatever the passes
+    pairs = found.where("u1 <> u2").groupBy(F.least("u1", "u2").alias("u1"), F.greatest("u1", "u2").alias("u2")).agg(F.min("rule").alias("rule"))
+    pairs = cut(pairs, replaces=found)
+    third = _partners(pairs.select("u1", "u2").union(pairs.select("u2", "u1")), spelled).withColumn("rule", F.lit(len(rules)))
+    direct = pairs.unionByName(third).groupBy(F.col("u1").alias("unit_a"), F.col("u2").alias("unit_b")).agg(F.min("rule").alias("rule"))
     return direct.join(F.broadcast(precision), "rule").select("unit_a", "unit_b", F.col("rule_name").alias("rule"), F.round("confidence", 4).alias("confidence"))  # precision has a row a rule
 
 

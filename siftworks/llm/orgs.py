@@ -28,15 +28,11 @@ def compact(value: Column) -> Column:
     return F.when(bare != "", bare)
 
 
-def entries(orgs: DataFrame, countries: DataFrame, by_lei: bool = True) -> DataFrame:
-    """One row per organizations row: ``id, unit, source, source_id, name`` and its parts and fields, in comparable form.
+def own_entries(orgs: DataFrame, countries: DataFrame) -> DataFrame:
+    """One row per organizations row: ``id, source, source_id, name, lei`` and its parts and fields, in comparable form, nothing filled in.
 
-    ``unit`` is the smallest id of the rows that share a source record or an LEI with it. A field that a row lacks is
-    taken from its unit (the smallest value, so that it doesn't depend on order). Stand-ins and identifiers have no words.
-    ``countries`` has ``value`` and ``code`` of the entered regions. Without ``by_lei`` every row stands for itself and
-    nothing is filled in.
+    Stand-ins and identifiers have no words. ``countries`` has ``value`` and ``code`` of the entered regions.
     """
-    groups = cut(source_groups(orgs)) if by_lei else None
     entry = lambda k: F.element_at("record", F.lit(k))
     usable = names.usable_name(F.col("name"), F.col("source_id"))
     codes = countries.select(F.col("value").alias("region"), F.col("code").alias("country"))
@@ -49,13 +45,24 @@ def entries(orgs: DataFrame, countries: DataFrame, by_lei: bool = True) -> DataF
         parts(F.when(usable, F.col("name")).otherwise(F.lit(""))).alias("p"),
     ).select("*", "p.*").drop("p")
     base = base.join(codes, "region", "left").drop("region").withColumn("country", F.coalesce("country", F.when(F.length("mark") == 2, F.col("mark"))))
-    base = cut(base)
-    if groups is None:
-        return base.select("id", F.col("id").alias("unit"), "source", "source_id", "name", "lei", "words", "sounds", "business", "fund", "legal", "mark", *FIELDS)
-    shared = base.select("id", *FIELDS).join(groups, "id").groupBy("group_id").agg(*[F.min(c).alias(f"u_{c}") for c in FIELDS])
+    return cut(base)
+
+
+def filled_entries(orgs: DataFrame, own: DataFrame) -> DataFrame:
+    """``own`` with its ``unit``, the smallest id of the rows that share a source record or an LEI with it.
+
+    A field that a row lacks is taken from its unit (the smallest value, so that it doesn't depend on order).
+    """
+    groups = cut(source_groups(orgs))
+    shared = own.select("id", *FIELDS).join(groups, "id").groupBy("group_id").agg(*[F.min(c).alias(f"u_{c}") for c in FIELDS])
     known = groups.join(shared, "group_id")
-    filled = base.join(known, "id", "left")
-    return cut(filled.select("id", F.coalesce("group_id", "id").alias("unit"), "source", "source_id", "name", "lei", "words", "sounds", "business", "fund", "legal", "mark", *[F.coalesce(c, f"u_{c}").alias(c) for c in FIELDS]), replaces=base)
+    filled = own.join(known, "id", "left")
+    return cut(filled.select("id", F.coalesce("group_id", "id").alias("unit"), "source", "source_id", "name", "lei", "words", "sounds", "business", "fund", "legal", "mark", *[F.coalesce(c, f"u_{c}").alias(c) for c in FIELDS]))
+
+
+def entries(orgs: DataFrame, countries: DataFrame) -> DataFrame:
+    """``own_entries``, filled in from their units."""
+    return filled_entries(orgs, own_entries(orgs, countries))
 
 
 def edits(x: Column, y: Column) -> Column:

@@ -66,6 +66,12 @@ def ranked_pairs(keyed: DataFrame, fits: Column) -> DataFrame:
     return pairs.repartition("variant").distinct()
 
 
+def left_out(word: Column) -> Column:
+    """The word, and the word without each of its letters."""
+    less = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) >= 3, less).otherwise(F.array().cast("array<string>"))))
+
+
 # --- organizations -----------------------------------------------------------------------------------------------
 
 
@@ -133,16 +139,15 @@ def employer_pairs(people: DataFrame, rows: DataFrame, spelled: DataFrame) -> Da
         .withColumn("candidate", F.monotonically_increasing_id())
     )
     fund = f("fund").cast("string")
-    run = F.when(F.size("words") == 2, F.array(F.array_join("words", ""), F.array_join(F.reverse("words"), ""))).when((F.size("words") == 1) & (F.length(F.get("words", F.lit(0))) >= 9), f("words"))
-    # slips in both words: the beginning or end of each of two words; run together with a slip: the beginning or end of the whole, which is that of a word
-    ends = lambda w, n: F.array(F.concat(F.lit("<"), F.substring(w, 1, n)), F.concat(F.lit(">"), F.substring(w, -n, n)))
-    word = lambda k: F.get("sounds", F.lit(k))
-    both = F.flatten(F.transform(ends(word(0), 2), lambda x: F.transform(ends(word(1), 2), lambda y: F.concat(F.least(x, y), F.greatest(x, y)))))
-    slips = F.when(F.size("sounds") == 2, both)
-    part = F.when(F.size("words") == 2, F.flatten(F.transform("words", lambda w: ends(w, 4)))).when((F.size("words") == 1) & (F.length(F.get("words", F.lit(0))) >= 8), ends(F.get("words", F.lit(0)), 4))
-    rules = [("word", [f("sounds"), f("business"), fund]), ("run", [run, f("business"), fund]), ("slips", [slips, f("business"), fund]), ("part", [part, f("business"), fund])]
-    left = keys(texts.select("nth", "words", "sounds", "business", "fund"), rules).select("key", "nth")
-    right = keys(spellings.select("candidate", "words", "sounds", "business", "fund"), rules).select("key", "candidate")
+    two, one = F.size("words") == 2, (F.size("words") == 1) & (F.length(F.get("words", F.lit(0))) >= 8)
+    ends = lambda w: F.array(F.concat(F.lit("<"), F.substring(w, 1, 4)), F.concat(F.lit(">"), F.substring(w, -4, 4)))
+    run = F.when(two, F.array(F.array_join("words", ""), F.array_join(F.reverse("words"), ""))).when(one, f("words"))
+    parts_of_two, parts_of_one = F.when(two, F.flatten(F.transform("words", ends))), F.when(one, ends(F.get("words", F.lit(0))))
+    # a word as it is and with each letter left out: two words a slip apart have one of them in common. Run together with a slip: the
+    # beginning or end of the whole, which is that of one of two words
+    rules = lambda x, y: [("word", [F.flatten(F.transform("sounds", left_out)), f("business"), fund]), ("run", [run, f("business"), fund]), ("two", [x, f("business"), fund]), ("one", [y, f("business"), fund])]
+    left = keys(texts.select("nth", "words", "sounds", "business", "fund"), rules(parts_of_two, parts_of_one)).select("key", "nth").distinct()
+    right = keys(spellings.select("candidate", "words", "sounds", "business", "fund"), rules(parts_of_one, parts_of_two)).select("key", "candidate").distinct()
     met = left.join(right, "key").select("nth", "candidate").distinct()
     met = met.join(texts.select("nth", F.struct("words", "sounds", "legal", "mark").alias("a")), "nth").join(spellings.select("candidate", "cluster", F.struct("words", "sounds", "legal", "country", "rows").alias("b")), "candidate")
     form = F.when((f("a.legal") == "") | (f("b.legal") == ""), -0.5).when(f("a.legal") == f("b.legal"), 0.0).otherwise(-3.0)
@@ -193,7 +198,7 @@ def person_pairs(spark: SparkSession, people: DataFrame, roles: DataFrame | None
 
     Entries (equal name words and facts) meet where a word of their names and the initial of another one are the same and
     with them the month of birth, or where the initials of two words are the same and with them the day of birth or the
-    employer, or all words and the nation; how common a word is makes no difference. An employer of more than a twentieth of all entries says little: its
+    employer, or all words and the nation; entries of one source record meet its first; how common or short a word is makes no difference. An employer of more than a twentieth of all entries says little: its
     key also takes the month of birth, or a whole word and the nation, or all words.
     Each entry is attached to the better-ranked entry (spellings used more
     often, fuller names) with the largest posterior: log frequency, likelihood of the writing, and the odds of birth date,
@@ -233,7 +238,11 @@ def person_pairs(spark: SparkSession, people: DataFrame, roles: DataFrame | None
     year = lambda side: F.floor(f(f"{side}.birth") / 10000)
     fits = (f("l.birth").isNull() | f("r.birth").isNull() | (F.abs(year("l") - year("r")) <= 1)) & (f("l.nation").isNull() | f("r.nation").isNull() | (f("l.nation") == f("r.nation")) | (f("l.birth") == f("r.birth")))
     side = F.struct("sounds", "birth", "nation", "role", "org", "org_odds", "origin", "uses")
-    met = ranked_pairs(keyed, fits).join(grouped.select(f("nth").alias("variant"), side.alias("a")), "variant").join(grouped.select(f("nth").alias("candidate"), side.alias("b")), "candidate")
+    # entries of one source record: each with the first of them
+    records = grouped.where("origin is not null and size(sounds) >= 2").select("origin", "nth")
+    heads = records.groupBy("origin").agg(F.min("nth").alias("candidate"))
+    stars = records.join(heads, "origin").where("nth <> candidate").select(f("nth").alias("variant"), "candidate")
+    met = ranked_pairs(keyed, fits).unionByName(stars).join(grouped.select(f("nth").alias("variant"), side.alias("a")), "variant").join(grouped.select(f("nth").alias("candidate"), side.alias("b")), "candidate")
     scored = met.withColumn("posterior", person_posterior()).where("posterior > 0").select("variant", "candidate", "posterior")
     found = cut(components(attribute(scored, 3.0, keyed), "variant", "canonical").select(f("node").alias("nth"), f("root").alias("cluster")))
     member = cut(rows.join(found, "nth").select("id", "name", "cluster"))
