@@ -5,27 +5,50 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siftworks.llm.pack import pack, plan
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 50), max_size=120), st.integers(50, 60))
-def test_plan_places_each_item_once_within_capacity(sizes, capacity):
-    count = defaultdict(int)
-    for s in sizes:
-        count[s] += 1
-    placed, bins = plan(count.items(), capacity)
-    taken, ranks = defaultdict(int), defaultdict(set)
-    for size, a, b, first, offset in placed:
-        for k in range(a, b):
-            assert k not in ranks[size]
-            ranks[size].add(k)
-            assert taken[first + k - a] == offset
-            taken[first + k - a] += size
-    assert {s: len(r) for s, r in ranks.items()} == dict(count)
-    assert all(v <= capacity for v in taken.values()) and len(taken) == bins
-    least = -(-sum(sizes) // capacity)
-    assert least <= bins <= 2 * least + 1
+from siftworks.llm.pack import pack
+
+
+def swept(line, sizes):
+    """The line cut into partitions of the given sizes, swept and matched across: item -> bin."""
+    import pandas as pd
+
+    from siftworks.llm.pack import across, sweep
+
+    found, left, items, gaps, at = {}, [], {}, {}, 0
+    for p, n in enumerate(sizes):
+        part = pd.DataFrame([(p, *x) for x in line[at : at + n]], columns=["p", "kind", "key", "size", "used"])
+        at += n
+        a = b = 0
+        for frame in sweep(iter([part])):
+            for r in frame.itertuples():
+                if r.kind and not pd.isna(r.bin):
+                    found[r.key] = r.bin
+                elif r.kind:
+                    items[p, r.nth], a = r.key, a + 1
+                else:
+                    gaps[p, r.nth], b = r.key, b + 1
+        left.append((p, a, b))
+    for p, first, many, q, top in across(left):
+        for k in range(many):
+            found[items[p, first + k]] = gaps[q, top - k]
+    return found
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(1, 30)), max_size=60), st.lists(st.integers(0, 20), min_size=1, max_size=6))
+def test_sweeps_match_alike_in_any_partitions(things, cuts):
+    line = sorted([(kind, k, size, 0) for k, (kind, size) in enumerate(things)], key=lambda x: (-x[2], x[0], x[1]))
+    got = swept(line, [*cuts, 60])
+    assert got == swept(line, [len(line)])
+    size = {k: s for _, k, s, _ in line}
+    assert len(set(got.values())) == len(got) and all(size[i] <= size[g] for i, g in got.items())
+
+
+def test_pack_is_the_same_in_any_partitions(spark):
+    """Divided items too: twelve of 250 to 261 with a capacity of 100."""
+    docs = spark.createDataFrame([*((i, 250 + i) for i in range(12)), *((100 + i, i % 37) for i in range(150))], "doc_id bigint, n_tokens bigint")
+    rows = lambda df: sorted(map(tuple, pack(df, 100).collect()))
+    assert rows(docs.repartition(1)) == rows(docs.repartition(7, "n_tokens"))
 
 
 def test_pack(spark):
