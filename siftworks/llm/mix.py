@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import cut
+from .pack import numbered
 
 
 def sainte_lague(weights: dict, seats: int) -> dict:
     """``seats`` divided by ``weights``: each seat goes to the highest quotient weight / (2 s + 1), ties to the smaller key.
 
-    The bulk of the seats is given at once (rounding each quota down, less one, never gives more than the method does);
-    only the last few go one by one, so the cost depends on the number of keys and not on the seats.
+    With the divisor total / (seats - keys / 2) rounding gives at most ``seats`` and at least ``keys`` less, and never a key
+    more than the method does. Only that rest goes one by one, so the cost depends on the keys and not on the seats.
     """
     live = {k: Fraction(w).limit_denominator(10**12) for k, w in weights.items() if w and w > 0}
     out = dict.fromkeys(weights, 0)
@@ -23,7 +24,7 @@ def sainte_lague(weights: dict, seats: int) -> dict:
         return out
     total = sum(live.values())
     for k, w in live.items():
-        out[k] = max(0, int(w * seats / total) - len(live))
+        out[k] = max(0, int(w * (2 * seats - len(live)) / (2 * total) + Fraction(1, 2)))
     heap = [(-live[k] / (2 * out[k] + 1), k) for k in live]
     heapq.heapify(heap)
     for _ in range(seats - sum(out.values())):
@@ -63,6 +64,26 @@ def quotas(totals: dict[str, int], targets: dict[str, tuple[float, int]], block:
             del free[k]
 
 
+def shard_quotas(per: DataFrame, seats: DataFrame) -> DataFrame:
+    """``(_source, shard, n, quota)``: Sainte-Laguë of each source's seats over its shards, as DataFrames.
+
+    ``per`` has ``_source, shard, n`` (tokens), ``seats`` has ``_source, seats`` for the listed sources. As in ``sainte_lague`` a first
+    divisor gives all but at most as many seats as there are shards; the quotients that the others can go to, a few a
+    shard, are ranked by a range sort, and the highest get them.
+    """
+    whole = per.groupBy("_source").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
+    known = per.join(whole, "_source").join(F.broadcast(seats), "_source")  # a row a listed source
+    first = F.greatest(F.lit(0), F.floor(F.col("n") * (2 * F.col("seats") - F.col("k")) / (2 * F.col("total")) + 0.5))
+    known = cut(known.withColumn("given", first.cast("bigint")))
+    rest = known.groupBy("_source").agg((F.first("seats") - F.sum("given")).alias("rest"))
+    turns = F.explode(F.sequence(F.lit(1), (F.ceil(F.col("k") * F.col("n") / F.col("total")) + 2).cast("int")))
+    asked = known.select("_source", "shard", "n", "given", turns.alias("turn")).withColumn("quotient", F.col("n") / (2 * (F.col("given") + F.col("turn")) - 1))
+    ranked = cut(numbered(asked.select("_source", "shard", "quotient"), [F.col("_source"), -F.col("quotient"), F.col("shard")], F.lit(1).cast("bigint"), "at"))
+    begins = ranked.groupBy("_source").agg(F.min("at").alias("begin")).join(rest, "_source")
+    more = ranked.join(F.broadcast(begins), "_source").where("at - begin < rest").groupBy("_source", "shard").agg(F.count(F.lit(1)).alias("more"))
+    return cut(known.join(more, ["_source", "shard"], "left").select("_source", "shard", "n", (F.col("given") + F.coalesce("more", F.lit(0))).alias("quota")))
+
+
 def fine_block(totals: dict[str, int], targets: dict[str, tuple[float, int]], block: int) -> int:
     """The largest block up to ``block`` of which the cap of every source holds 1024, down to one token: rounding caps to whole blocks then costs a source next to nothing."""
     caps = [totals[k] * r for k, (s, r) in targets.items() if s > 0 and totals.get(k, 0) > 0 and r]
@@ -81,8 +102,9 @@ def mix(
 
     ``block`` is the largest block; it is made smaller where a source is scarce (``fine_block``).
 
-    The driver apportions blocks to sources and then to shards of a source, from one row per shard of about
-    ``shard_tokens`` tokens. A source of any size is spread over its shards by a hash of the id, so a source that holds a
+    The driver apportions blocks to the listed sources; each source's go to its shards of about ``shard_tokens`` tokens by
+    the same method, distributed (``shard_quotas``). Documents of a shard stand in a seeded order that is cut into
+    blocks; a shard's quota is its first blocks, which the seed chooses. A source of any size is spread over its shards by a hash of the id, so a source that holds a
     third of all rows is selected by many tasks. Within a shard documents go in seeded order; every document is used as
     often as the quota covers the whole shard, and the first ones once more, up to the quota. A document that straddles
     the end is used if its larger part lies inside.
@@ -101,19 +123,16 @@ def mix(
     shards = spark.createDataFrame([(k, max(1, -(-n // shard_tokens))) for k, n in totals.items()] or [("", 1)], "_source string, shards bigint")
     order = F.xxhash64(F.lit(seed), F.col("_id"))
     placed = sized.join(F.broadcast(shards), "_source").withColumn("_order", order).withColumn("shard", F.pmod(F.xxhash64("_order"), F.col("shards")))
-    per = placed.groupBy("_source", "shard").agg(F.sum("_size").alias("n")).collect()  # total tokens / shard_tokens rows
-    rows = []
-    for source in totals:
-        own = {r["shard"]: r["n"] for r in per if r["_source"] == source}
-        rows += [(source, shard, blocks * block, own[shard]) for shard, blocks in sainte_lague(own, given.get(source, 0)).items()]
-    limits = spark.createDataFrame(rows or [("", 0, 0, 1)], "_source string, shard bigint, quota bigint, tokens bigint")
+    per = cut(placed.groupBy("_source", "shard").agg(F.sum("_size").alias("n")))
+    seats = spark.createDataFrame([(k, int(given.get(k, 0))) for k in totals] or [("", 0)], "_source string, seats bigint")
+    limits = shard_quotas(per, seats).select("_source", "shard", (F.col("quota") * block).alias("quota"), F.col("n").alias("tokens"))
     start = F.coalesce(F.sum("_size").over(Window.partitionBy("_source", "shard").orderBy("_order", "_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rounds = F.floor(F.col("quota") / F.col("tokens"))
     rest = F.col("quota") - F.col("rounds") * F.col("tokens")
     repeats = spark.createDataFrame([(k, int(r or 0)) for k, (_, r) in wanted.items()] or [("", 0)], "_source string, max_repeats int")
     used = (
         placed.withColumn("start", start)
-        .join(F.broadcast(limits), ["_source", "shard"])
+        .join(limits, ["_source", "shard"])
         .join(F.broadcast(repeats), "_source")
         .withColumn("rounds", rounds)
         .withColumn("uses", F.least(F.col("rounds") + F.when(F.col("start") * 2 + F.col("_size") <= rest * 2, 1).otherwise(0), F.col("max_repeats")).cast("int"))

@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siftworks.llm.mix import mix, quotas, sainte_lague
+from siftworks.llm.mix import mix, quotas, sainte_lague, shard_quotas
 
 
 def slow(weights, seats):
@@ -21,7 +21,24 @@ def test_sainte_lague(weights, seats):
     assert sainte_lague(weights, seats) == slow(weights, seats)
 
 
+def test_many_keys_take_seconds():
+    import time
+
+    began = time.perf_counter()
+    out = sainte_lague({k: 1000 + k % 17 for k in range(10_000)}, 70_001)
+    assert sum(out.values()) == 70_001 and max(out.values()) - min(out.values()) <= 1 and time.perf_counter() - began < 20
+
+
+def test_shard_quotas_are_those_of_the_method(spark):
+    weights = {"a": {0: 70, 1: 71, 2: 500, 3: 3}, "b": {0: 9, 1: 9, 2: 9}, "c": {0: 40}}
+    seats = {"a": 37, "b": 1, "c": 0}
+    per = spark.createDataFrame([(s, k, n) for s, own in weights.items() for k, n in own.items()], "_source string, shard bigint, n bigint")
+    got = {(r["_source"], r["shard"]): r["quota"] for r in shard_quotas(per, spark.createDataFrame(list(seats.items()), "_source string, seats bigint")).collect()}
+    assert got == {(s, k): n for s, own in weights.items() for k, n in slow(own, seats[s]).items()}
+
+
 def test_quotas_respect_caps():
+    # by hand: c has no tokens, so a and b share 5 to 4; b may fill 100 * 2 / 10 = 20 blocks, which go with 25 of a
     given_, total = quotas({"a": 1000, "b": 100, "x": 5}, {"a": (0.5, 1), "b": (0.4, 2), "c": (0.1, 3)}, 10)
     assert given_["a"] <= 100 and given_["b"] <= 20 and "c" not in given_ and total == sum(given_.values()) == 45
     given_, _ = quotas({"a": 1000, "b": 100}, {"a": (0.5, 1), "b": (0.5, 2)}, 10, total=1100)
