@@ -51,13 +51,14 @@ def own_entries(orgs: DataFrame, countries: DataFrame) -> DataFrame:
 def filled_entries(orgs: DataFrame, own: DataFrame) -> DataFrame:
     """``own`` with its ``unit``, the smallest id of the rows that share a source record or an LEI with it.
 
-    A field that a row lacks is taken from its unit (the smallest value, so that it doesn't depend on order).
+    A field that a row lacks is taken from its unit (the smallest value, so that it doesn't depend on order). The files of
+    ``own`` are removed.
     """
     groups = cut(source_groups(orgs))
     shared = own.select("id", *FIELDS).join(groups, "id").groupBy("group_id").agg(*[F.min(c).alias(f"u_{c}") for c in FIELDS])
     known = groups.join(shared, "group_id")
     filled = own.join(known, "id", "left")
-    return cut(filled.select("id", F.coalesce("group_id", "id").alias("unit"), "source", "source_id", "name", "lei", "words", "sounds", "business", "fund", "legal", "mark", *[F.coalesce(c, f"u_{c}").alias(c) for c in FIELDS]))
+    return cut(filled.select("id", F.coalesce("group_id", "id").alias("unit"), "source", "source_id", "name", "lei", "words", "sounds", "business", "fund", "legal", "mark", *[F.coalesce(c, f"u_{c}").alias(c) for c in FIELDS]), replaces=own)
 
 
 def entries(orgs: DataFrame, countries: DataFrame) -> DataFrame:
