@@ -59,7 +59,7 @@ def s11_submission_kind(spark, d):
     return orgs.select("id", F.when(ticker.isNotNull() | sic.isNotNull(), F.when(sic.isin(*R.FUND_SICS), "fund").otherwise("business")).alias("kind"))
 
 
-_CASES = "case id % 5 when 0 then 'Private Limited Company' when 1 then 'PRI/LTD BY GUAR' when 2 then 'Charitable Incorporated Organisation' when 3 then 'Overseas Entity' else 'Unknown' end"
+_CASES = "case id % 7 when 0 then 'Private Limited Company' when 1 then 'PRI/LTD BY GUAR/NSC (Private, limited by guarantee, no share capital)' when 2 then 'Charitable Incorporated Organisation' when 3 then 'Overseas Entity' when 4 then 'Royal Charter Company' when 5 then 'Other company type' else 'Limited Partnership' end"
 _WHENS = " ".join(f"when starts_with(lower(cat), '{p}') then '{k}'" for p, k in R.CATEGORY_PREFIXES)
 
 
@@ -68,20 +68,29 @@ def s13_company_kind(spark, d):
     return table(spark, d, "organizations").where("source = 'companies_house'").select("id", R.company_kind(F.expr(_CASES)).alias("kind"))
 
 
-@query(r"""with p as (select source_id, max(trim(name)) as n, max(from_date) as f from people where source = 'companies_house' and regexp_full_match(source_id, '\d{12}') and regexp_full_match(from_date, '\d{4}-\d{2}-\d{2}') and regexp_full_match(trim(name), '[A-Z][a-z]+ [A-Z][a-z]+') group by 1)
-  select source_id, n as name, 'Director' as known_for_role, 'COMPANY ' || substr(source_id, 1, 8) as known_for_org, f as from_date from p""")
+@query(r"""with p as (select *, regexp_replace(replace(coalesce(name, ''), '<', ' '), '\s+', ' ', 'g') as n, regexp_replace(replace(coalesce(known_for_role, ''), '<', ' '), '\s+', ' ', 'g') as o from people where source = 'companies_house')
+  select id, upper(trim(n)) as name_upper, coalesce(nullif(trim(o), ''), 'Director') as known_for_role, 'COMPANY ' || lpad((id % 100000000)::varchar, 8, '0') as known_for_org,
+    case when regexp_full_match(from_date, '\d{4}-\d{2}-\d{2}') then from_date else '' end as from_date, case when regexp_full_match(to_date, '\d{4}-\d{2}-\d{2}') then to_date else '' end as to_date,
+    case when regexp_full_match(birth_date, '\d{4}-\d{2}(-\d{2})?') then birth_date else '' end as birth_date from p where trim(n) <> ''""")
 def s16_officers(spark, d):
-    """Officers written as lines of fixed width, after lines of their companies, and read back."""
-    whole = c("source_id").rlike(r"^\d{12}$") & c("from_date").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.trim("name").rlike("^[A-Z][a-z]+ [A-Z][a-z]+$")
-    p = table(spark, d, "people").where((c("source") == "companies_house") & whole).groupBy("source_id").agg(F.max(F.trim("name")).alias("n"), F.max("from_date").alias("f"))
-    number = F.substring("source_id", 1, 8)
-    companies = p.select(F.concat(number, F.lit("1"), F.repeat(F.lit(" "), F.lit(31)), F.lit("COMPANY "), number, F.lit("<")).alias("value")).distinct()
-    people = p.select(F.concat(number, F.lit("2 01"), c("source_id"), F.replace("f", F.lit("-"), F.lit("")), F.repeat(F.lit(" "), F.lit(8)), F.lit("MR<"), F.split_part("n", F.lit(" "), F.lit(1)), F.lit("<"), F.split_part("n", F.lit(" "), F.lit(2)), F.lit("<")).alias("value"))
-    header = spark.createDataFrame([("DDDDSNAP" + " " * 60,), ("9999" + "0" * 60,)], "value string")
-    return R.officer_lines(companies.unionByName(people).unionByName(header)).select("source_id", "name", "known_for_role", "known_for_org", "from_date")
+    """All people of that source as lines of the file's specification, between company lines, corporate officers, header and trailer, and read back."""
+    flat = lambda k: F.trim(F.regexp_replace(F.replace(F.coalesce(k, F.lit("")), F.lit("<"), F.lit(" ")), r"\s+", " "))
+    p = table(spark, d, "people").where("source = 'companies_house'").withColumn("n", flat("name")).withColumn("o", flat("known_for_role"))
+    number = F.lpad((c("id") % 100000000).cast("string"), 8, "0")
+    day = lambda k: F.when(c(k).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.replace(k, F.lit("-"), F.lit(""))).otherwise(F.repeat(F.lit(" "), F.lit(8)))
+    month = F.when(c("birth_date").rlike(r"^\d{4}-\d{2}$"), F.replace("birth_date", F.lit("-"), F.lit(""))).otherwise(F.repeat(F.lit(" "), F.lit(6)))
+    fields = F.concat(F.lit("MR<"), F.regexp_replace("n", r"\s*\S+$", ""), F.lit("<"), F.regexp_extract("n", r"(\S+)$", 1), F.lit("<<<<<<<<<"), c("o"), F.lit("<BRITISH<ENGLAND<"))
+    line = lambda corporate: F.concat(number, F.lit("2101"), F.lpad(c("id").cast("string"), 12, "0"), F.lit(corporate), F.lit(" " * 7), day("from_date"), day("to_date"), F.rpad(F.lit("AB1 2CD"), 8, " "), month, F.lit("  "), day("birth_date"), F.lit("0100"), fields)
+    companies = p.select(F.concat(number, F.lit("1"), F.lit(" " * 23), F.lit("00010020COMPANY "), number, F.lit("<" + " " * 30)).alias("value"))
+    header = spark.createDataFrame([("DDDDSNAP0195" + " " * 80,), ("9999" + "0" * 90,)], "value string")
+    lines = companies.unionByName(p.select(line(" ").alias("value"))).unionByName(p.select(line("Y").alias("value"))).unionByName(header)
+    return R.officer_lines(lines).select(F.ltrim("source_id", F.lit("0")).cast("bigint").alias("id"), F.upper("name").alias("name_upper"), "known_for_role", "known_for_org", "from_date", "to_date", "birth_date")
 
 
-@query("select id, case when regexp_matches(lower(known_for_role), 'secretary|director|member|manager|officer') then 'executive' when regexp_matches(lower(known_for_role), 'judge|receiver|liquidator|factor') then 'legal' else 'unknown' end as kind from people where known_for_role is not null")
+_OFFICER = "case " + " ".join(f"when regexp_matches(lower(known_for_role), '{'|'.join(words)}') then '{kind}'" for kind, words in R.OFFICER_WORDS) + " else 'executive' end"
+
+
+@query(f"select id, {_OFFICER} as kind from people where known_for_role is not null")
 def s18_officer_kind(spark, d):
     return table(spark, d, "people").where("known_for_role is not null").select("id", R.officer_kind(c("known_for_role")).alias("kind"))
 
@@ -232,9 +241,11 @@ def a11_mean_by_label(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(F.round(F.avg(V.norm(c("embedding"))), 6).alias("mean_norm"))
 
 
-@query("select doc_id, case when n_chars > 0 then doc_id % 7 else 0 end as page from documents where doc_id % 7 = 3 and n_chars > 0")
+@query("select doc_id, p.i as page, length(p.t) as chars from documents, lateral (select unnest(string_split(text, chr(12))) as t, generate_subscripts(string_split(text, chr(12)), 1) as i) p where length(trim(p.t)) > 0")
 def f07_by_page(spark, d):
-    return table(spark, d, "documents").where("doc_id % 7 = 3 and n_chars > 0").select("doc_id", F.when(c("n_chars") > 0, c("doc_id") % 7).otherwise(0).alias("page"))
+    """The pages of every document, numbered from 1; pages end at page breaks, blank ones are left out."""
+    pages = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\f")).alias("i", "t"))
+    return pages.where(F.length(F.trim("t")) > 0).select("doc_id", (c("i") + 1).cast("bigint").alias("page"), F.length("t").cast("bigint").alias("chars"))
 
 
 @query("select id, record['city'] as city from organizations where record['city'] is not null")
@@ -299,9 +310,11 @@ def r34_ticker_cache(spark, d):
     return listed.groupBy("name").agg(F.max_by("ticker", "id").alias("ticker"))
 
 
-@query("select source, count(*) as n from organizations where source in ('gleif', 'sec_edgar') group by 1")
+@query("select source, id, name, row_number() over (partition by source order by id) as nth from organizations")
 def r16_by_source(spark, d):
-    return table(spark, d, "organizations").where(c("source").isin("gleif", "sec_edgar")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    """The rows of each source in the order of their ids."""
+    by = Window.partitionBy("source").orderBy("id")
+    return table(spark, d, "organizations").select("source", "id", "name", F.row_number().over(by).alias("nth"))
 
 
 @query("select qid, arg_max(name, id) as label from locations where qid is not null group by 1")

@@ -136,7 +136,7 @@ def l01_sentiment(spark, d):
     return docs.select("doc_id", "s.label", F.round("s.confidence", 6).alias("confidence"))
 
 
-@query("select doc_id, coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')" for p in L.ROLE_PATTERNS) + ") as role from documents where text is not null")
+@query("select doc_id, coalesce(" + ", ".join(f"nullif(regexp_extract(text, '(?i){p}', 1), '')" for p in L.ROLE_PATTERNS) + ") as role from documents where text is not null")
 def l05_role_in_text(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", L.role_in_text(c("text")).alias("role"))
 

@@ -12,7 +12,7 @@ c = F.col
 # --- GLEIF ------------------------------------------------------------------------------------------------------
 
 # Legal entity categories and the kinds of organization they mean.
-GLEIF_KINDS = {"GENERAL": "business", "BRANCH": "branch", "FUND": "fund", "SOLE_PROPRIETOR": "business", "RESIDENT_GOVERNMENT_ENTITY": "government", "INTERNATIONAL_ORGANIZATION": "international_org"}
+GLEIF_KINDS = {"GENERAL": "business", "BRANCH": "branch", "FUND": "fund", "SOLE_PROPRIETOR": "business", "RESIDENT_GOVERNMENT_ENTITY": "government", "INTERNATIONAL_ORGANIZATION": "international_org", "": "unknown"}
 
 def _lookup(value: Column, table: dict[str, str], default: str) -> Column:
     pairs = [F.lit(x) for kv in table.items() for x in kv]
@@ -41,10 +41,19 @@ def gleif_lines(spark: SparkSession, path: str, active_only: bool = True) -> Dat
 
 
 def gleif_array(spark: SparkSession, path: str, active_only: bool = True) -> DataFrame:
-    """A file that holds one JSON array of records, or an object with it under ``data``."""
-    text = spark.read.text(path, wholetext=True)
-    items = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.from_json(F.get_json_object("value", "$.data"), "array<string>"))
-    return gleif_json(text.select(F.explode(items).alias("value")), "value", active_only)
+    """A file that holds one JSON array of records, or an object with it under ``data``.
+
+    The parser streams through the array of a file, one record a row; several files are read in parallel. An object is one row.
+    """
+    # parts that are objects come as their JSON text; the two forms differ by letter case only, so each is read by its own schema
+    newer = spark.read.schema("id string, lei string, attributes string, Entity string, data array<string>").json(path, multiLine=True)
+    older = spark.read.schema("LEI string, Entity string").json(path, multiLine=True).where("Entity is not null")
+    quoted = lambda k: F.concat(F.lit(f'"{k}":"'), c(k), F.lit('"'))
+    plain = lambda k: F.concat(F.lit(f'"{k}":'), c(k))
+    whole = lambda *parts: F.array(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
+    rows = newer.where("Entity is null").select(F.explode(F.coalesce("data", whole(quoted("id"), quoted("lei"), plain("attributes")))).alias("value"))
+    rows = rows.unionByName(older.select(F.explode(whole(plain("LEI"), plain("Entity"))).alias("value")))
+    return gleif_json(rows, "value", active_only)
 
 
 def gleif_xml(spark: SparkSession, path: str, active_only: bool = True) -> DataFrame:
@@ -53,7 +62,7 @@ def gleif_xml(spark: SparkSession, path: str, active_only: bool = True) -> DataF
     x = spark.read.format("xml").schema(schema).option("rowTag", "LEIRecord").option("ignoreNamespace", "true").load(path)
     row = x.select(c("LEI").alias("source_id"), c("Entity.LegalName._VALUE").alias("name"), F.upper(F.coalesce("Entity.EntityStatus", F.lit("ACTIVE"))).alias("status"), c("Entity.EntityCategory").alias("category"),
                    F.coalesce("Entity.LegalAddress.Country", F.lit("")).alias("region"), F.substring("Entity.EntityCreationDate", 1, 10).alias("from_date"), c("Entity.LegalAddress.City").alias("city"))
-    return _gleif(row, active_only)
+    return _gleif(row.withColumn("category", F.coalesce("category", F.lit(""))), active_only)
 
 
 def _gleif(row: DataFrame, active_only: bool) -> DataFrame:
@@ -125,7 +134,7 @@ def form4_owners(raw: DataFrame, column: str) -> DataFrame:
     title = F.nullif(F.trim("o.reportingOwnerRelationship.officerTitle"), F.lit(""))
     roles = F.array_compact(F.array(F.when(on("isDirector"), F.lit("Director")), F.when(on("isOfficer"), F.coalesce(title, F.lit("Officer"))), F.when(on("isTenPercentOwner"), F.lit("10% Owner"))))
     bare = lambda col: F.regexp_replace(col, "^0+", "")
-    kind = F.when(on("isOfficer"), "executive").when(on("isDirector"), "executive").otherwise("investor")
+    kind = F.when(on("isOfficer") | on("isDirector"), "executive").when(on("isTenPercentOwner"), "entrepreneur").otherwise("unknown")
     return x.withColumn("roles", roles).where(F.size("roles") > 0).select(
         title_case(c("o.reportingOwnerId.rptOwnerName")).alias("name"), F.lit("sec_edgar").alias("source"), F.concat_ws("_", bare(c("o.reportingOwnerId.rptOwnerCik")), bare(c("issuer.issuerCik"))).alias("source_id"),
         F.array_join("roles", ", ").alias("known_for_role"), c("issuer.issuerName").alias("known_for_org"), kind.alias("person_type"), F.coalesce("periodOfReport", F.lit("")).alias("from_date"),
@@ -134,16 +143,31 @@ def form4_owners(raw: DataFrame, column: str) -> DataFrame:
 
 # --- Companies House --------------------------------------------------------------------------------------------
 
-# Beginnings of company categories in order of trial, and what they mean.
+# Beginnings of the company categories that are taken, and what they mean.
 CATEGORY_PREFIXES = (
-    ("charitable", "nonprofit"), ("community interest", "nonprofit"), ("registered society", "nonprofit"), ("industrial and provident", "nonprofit"), ("private limited", "business"), ("pri/", "business"), ("public limited", "business"),
-    ("private unlimited", "business"), ("limited partnership", "business"), ("limited liability partnership", "business"), ("royal charter", "nonprofit"), ("overseas", "branch"), ("other company", "business"), ("investment company", "fund"),
-)
+    ("private limited company", "business"),
+    ("public limited company", "business"),
+    ("private unlimited company", "business"),
+    ("limited liability partnership", "business"),
+    ("overseas entity", "business"),
+    ("old public company", "business"),
+    ("royal charter", "business"),
+    ("other company type", "unknown"),
+    ("pri/ltd by guar", "nonprofit"),
+    ("pri/lbg/nsc", "nonprofit"),
+    ("community interest company", "nonprofit"),
+    ("charitable incorporated organisation", "nonprofit"),
+    ("scottish charitable incorporated organisation", "nonprofit"),
+    ("registered society", "nonprofit"),
+)
+# Beginnings of the status of companies that exist.
+LIVE_STATUS = ("active", "open", "live")
 
 
 def company_kind(category: Column) -> Column:
-    """The kind of the first beginning that fits; NULL for categories that are left out."""
-    return F.coalesce(*[F.when(F.startswith(F.lower(category), F.lit(p)), F.lit(k)) for p, k in CATEGORY_PREFIXES])
+    """The kind of the beginning that fits (no two do); NULL for categories that are left out."""
+    bare = F.lower(F.trim(category))
+    return F.coalesce(*[F.when(F.startswith(bare, F.lit(p)), F.lit(k)) for p, k in CATEGORY_PREFIXES])
 
 
 def companies_house_csv(spark: SparkSession, path: str, active_only: bool = True) -> DataFrame:
@@ -158,46 +182,54 @@ def companies_house_csv(spark: SparkSession, path: str, active_only: bool = True
         iso("IncorporationDate").alias("from_date"), iso("DissolutionDate").alias("to_date"), F.lower(get("CompanyStatus")).alias("status"), get("SICCode.SicText_1").alias("sic"),
     )
     rows = rows.where("trim(name) <> '' and trim(source_id) <> '' and entity_type is not null")
-    rows = rows.where(F.startswith("status", F.lit("active"))) if active_only else rows
+    rows = rows.where(c("status").rlike("^(" + "|".join(LIVE_STATUS) + ")")) if active_only else rows
     record = F.map_filter(F.create_map(F.lit("status"), c("status"), F.lit("sic"), c("sic")), lambda k, v: v.isNotNull())
     return rows.select("name", "source", "source_id", "region", "entity_type", "from_date", "to_date", record.alias("record"))
 
 
-def officer_kind(role: Column) -> Column:
-    """Kind of person by words of the role."""
-    r = F.lower(role)
-    return F.when(r.rlike("secretary|director|member|manager|officer"), "executive").when(r.rlike("judge|receiver|liquidator|factor"), "legal").otherwise("unknown")
+# Words in the role of an officer and the kind of person they mean, in order of trial.
+OFFICER_WORDS = (
+    ("executive", ("director", "ceo", "cfo", "cto", "coo", "chief", "managing", "president", "chairman")),
+    ("legal", ("secretary", "solicitor", "lawyer", "legal")),
+    ("professional", ("accountant", "engineer", "architect", "doctor", "consultant")),
+)
 
 
-# Appointment types of the officers' file.
-APPOINTMENTS = {"00": "Secretary", "01": "Director", "04": "Non-Designated LLP Member", "05": "Designated LLP Member", "11": "Judicial Factor", "12": "Receiver", "13": "Manager", "17": "SE Member", "18": "SE Member", "19": "SE Member"}
+def officer_kind(role: Column) -> Column:
+    """Kind of person by words of the role, ``executive`` if none is in it."""
+    r = F.lower(role)
+    return F.coalesce(*[F.when(r.rlike("|".join(words)), F.lit(kind)) for kind, words in OFFICER_WORDS], F.lit("executive"))
 
 
 def officers(spark: SparkSession, path: str, current_only: bool = False) -> DataFrame:
-    """People of an officers' file of fixed width: company lines (type 1) name the company of the officer lines (type 2) after them.
-
-    Company number 8 characters, type 1; company lines: name from column 41. Officer lines: appointment type columns 11-12,
-    person number 13-24, dates CCYYMMDD of appointment 25-32 and resignation 33-40, then ``title<forenames<surname<...``.
-    Lines carry their number, so a company's name is joined by its number and needs no order. Header and trailer lines are skipped.
+    """People of an officers' file of fixed width: company lines (type 1) name the company of the officer lines (type 2).
+
+    Both begin with the company number (columns 1-8) and the type (9); company lines have the name from column 41. Officer lines:
+    person number 13-24, ``Y`` in 25 for corporate officers, who are left out, dates CCYYMMDD of appointment 33-40 and
+    resignation 41-48, postcode 49-56, birth CCYYMM 57-62 and, if known, CCYYMMDD 65-72, and from 77 fields that end in ``<``:
+    title, forenames, surname, honours, care of, box, two lines of address, town, county, country, occupation,
+    nationality, country of residence. The role is the occupation, else Director. Lines under 76 characters, header,
+    trailer and officers without a surname are skipped. A company's name is joined by its number and needs no order.
     """
     return officer_lines(spark.read.text(path), current_only)
 
 
 def officer_lines(text: DataFrame, current_only: bool = False) -> DataFrame:
     """``officers`` over lines in ``value``."""
-    lines = text.where(~c("value").rlike("^(DDDD|9999)") & (F.length("value") > 40))
-    cut_ = lambda a, n: F.substring("value", a, n)
-    companies = lines.where(cut_(9, 1) == "1").groupBy(cut_(1, 8).alias("company_number")).agg(F.max(F.trim(F.regexp_replace(F.substring("value", 41, 200), "<.*", ""))).alias("company"))
-    people = lines.where(cut_(9, 1) == "2").select(
-        cut_(1, 8).alias("company_number"), cut_(11, 2).alias("kind"), F.trim(cut_(13, 12)).alias("person"), compact_date(cut_(25, 8)).alias("from_date"), compact_date(cut_(33, 8)).alias("to_date"), F.split(F.expr("substr(value, 41)"), "<").alias("v")
-    )
+    lines = text.where(~c("value").rlike("^DDDD") & (F.length("value") >= 76))
+    cut_ = lambda a, n: F.trim(F.substring("value", a, n))
+    companies = lines.where(cut_(9, 1) == "1").groupBy(cut_(1, 8).alias("company_number")).agg(F.max(F.trim(F.regexp_replace(F.expr("substr(value, 41)"), "(?s)<.*", ""))).alias("company"))
+    people = lines.where((cut_(9, 1) == "2") & (cut_(25, 1) != "Y")).select(
+        cut_(1, 8).alias("company_number"), cut_(13, 12).alias("person"), compact_date(cut_(33, 8)).alias("from_date"), compact_date(cut_(41, 8)).alias("to_date"), cut_(49, 8).alias("postcode"),
+        F.coalesce(compact_date(cut_(65, 8)), compact_date(cut_(57, 6)), F.lit("")).alias("birth_date"), F.split(F.expr("substr(value, 77)"), "<").alias("v"),
+    )
     part = lambda i: F.trim(F.coalesce(F.get("v", F.lit(i)), F.lit("")))
-    role = _lookup(c("kind"), APPOINTMENTS, "Officer")
-    out = people.join(companies, "company_number", "left").select(
-        title_case(F.concat_ws(" ", F.nullif(part(1), F.lit("")), F.nullif(part(2), F.lit("")))).alias("name"), F.lit("companies_house").alias("source"), c("person").alias("source_id"), role.alias("known_for_role"),
-        c("company").alias("known_for_org"), c("company_number"), officer_kind(role).alias("person_type"), F.coalesce("from_date", F.lit("")).alias("from_date"), F.coalesce("to_date", F.lit("")).alias("to_date"),
+    role = F.coalesce(F.nullif(part(11), F.lit("")), F.lit("Director"))
+    out = people.where(part(2) != "").join(companies, "company_number", "left").select(
+        title_case(F.concat_ws(" ", F.nullif(part(1), F.lit("")), part(2))).alias("name"), F.lit("companies_house").alias("source"), c("person").alias("source_id"), role.alias("known_for_role"),
+        c("company").alias("known_for_org"), c("company_number"), officer_kind(role).alias("person_type"), part(12).alias("nationality"), "postcode", "birth_date",
+        F.coalesce("from_date", F.lit("")).alias("from_date"), F.coalesce("to_date", F.lit("")).alias("to_date"),
     )
-    out = out.where("name <> ''")
     return out.where("to_date = ''") if current_only else out
 
 

@@ -52,17 +52,35 @@ def test_sec(spark, tmp_path):
 
 
 def test_companies_house(spark, tmp_path):
-    csv = "CompanyName, CompanyNumber,CompanyStatus,CompanyCategory,IncorporationDate,DissolutionDate,CountryOfOrigin,SICCode.SicText_1\n\"Foo, Ltd\",0001,Active,Private Limited Company,02/03/2001,,United Kingdom,62\nBar,0002,Dissolved,Private Limited Company,,,,\nBaz,0003,Active,Unknown Thing,,,,\n"
+    csv = "CompanyName, CompanyNumber,CompanyStatus,CompanyCategory,IncorporationDate,DissolutionDate,CountryOfOrigin,SICCode.SicText_1\n\"Foo, Ltd\",0001,Active,Private Limited Company,02/03/2001,,United Kingdom,62\nBar,0002,Dissolved,Private Limited Company,,,,\nBaz,0003,Active,Unknown Thing,,,,\nQux,0004,Open,Royal Charter Company,,,,\n"
     rows = R.companies_house_csv(spark, lines(tmp_path, "c.csv", csv)).collect()
-    assert [(r["name"], r["from_date"], r["entity_type"], r["record"]["sic"]) for r in rows] == [("Foo, Ltd", "2001-03-02", "business", "62")]
-    company = "0000000119".ljust(40) + "FOO LIMITED<"
-    company = "00000001" + "1" + "A".ljust(31) + "FOO LIMITED<"
-    officer = "00000001" + "2" + " " + "01" + "123456789012" + "20200131" + "        " + "MR<JANE MARY<O'DOE<<"
-    gone = "00000001" + "2" + " " + "00" + "999999999999" + "20190131" + "20210101" + "<JOHN<ROE<"
-    path = lines(tmp_path, "o.dat", "\n".join(["DDDDSNAP0195", company, officer, gone, "99999999000000003"]))
+    assert [(r["name"], r["from_date"], r["entity_type"], r["record"].get("sic")) for r in rows] == [("Foo, Ltd", "2001-03-02", "business", "62"), ("Qux", "", "business", None)]
+    company = "SC3451191                       00030012FOO LIMITED<".ljust(90)
+    #          number  1 app person      Y filler appointed resigned postcode birth   full    len
+    officer = "SC345119" + "2" + "1" + "01" + "012345678901" + " " + " " * 7 + "20200131" + " " * 8 + "EC1A 1BB" + "197003  " + " " * 8 + "0060" + "MR<JANE MARY<O'DOE<<<<1 HIGH ST<<LONDON<<UK<ACCOUNTANT<BRITISH<ENGLAND<"
+    gone = "SC345119" + "2" + "1" + "00" + "999999999999" + " " + " " * 7 + "20190131" + "20210101" + " " * 8 + "197003  " + "19700304" + "0020" + "<JOHN<ROE<<<<<<<<<<<<"
+    corporate = "SC345119" + "2" + "1" + "00" + "888888888888" + "Y" + " " * 7 + "20190131" + " " * 8 + " " * 24 + "0020" + "<<NOMINEES LTD<<<<<<<<<<<<"
+    path = lines(tmp_path, "o.dat", "\n".join(["DDDDSNAP0195".ljust(80), company, officer, gone, corporate, "99999999000000003".ljust(80)]))
     got = {r["source_id"]: r for r in R.officers(spark, path).collect()}
-    assert (got["123456789012"]["name"], got["123456789012"]["known_for_org"], got["123456789012"]["from_date"], got["123456789012"]["known_for_role"]) == ("Jane Mary O'Doe", "FOO LIMITED", "2020-01-31", "Director")
-    assert [r["source_id"] for r in R.officers(spark, path, current_only=True).collect()] == ["123456789012"]
+    jane, john = got["012345678901"], got["999999999999"]
+    assert (jane["name"], jane["known_for_org"], jane["from_date"], jane["to_date"], jane["known_for_role"], jane["person_type"], jane["birth_date"], jane["nationality"]) == ("Jane Mary O'Doe", "FOO LIMITED", "2020-01-31", "", "ACCOUNTANT", "professional", "1970-03", "BRITISH")
+    assert (john["known_for_role"], john["to_date"], john["birth_date"]) == ("Director", "2021-01-01", "1970-03-04") and set(got) == {"012345678901", "999999999999"}
+    assert [r["source_id"] for r in R.officers(spark, path, current_only=True).collect()] == ["012345678901"]
+
+
+def test_kinds_of_companies_and_officers(spark):
+    rows = spark.createDataFrame([("PRI/LTD BY GUAR/NSC", "Company Secretary"), ("Overseas Entity", "Consultant"), ("Royal Charter Company", "Plumber"), ("Other company type", "Chief Counsel"), ("Limited Partnership", "")], "c string, r string")
+    got = rows.select(R.company_kind(rows["c"]).alias("c"), R.officer_kind(rows["r"]).alias("r")).collect()
+    assert [tuple(r) for r in got] == [("nonprofit", "legal"), ("business", "professional"), ("business", "executive"), ("unknown", "executive"), (None, "executive")]
+
+
+def test_role_and_organization_in_text(spark):
+    from siftworks.functions.labels import org_in_text, role_in_text
+
+    texts = [("Ann Lee", "Ann Lee, chief people officer of Acme Foods Inc. said."), ("Bo Li", "On Monday Bo Li spoke at Zeta Corp."), ("Cy", "Head of sales"), ("Di Roe", "Foo Bars Di Roe left")]
+    rows = spark.createDataFrame(texts, "person string, text string")
+    got = rows.select(role_in_text(rows["text"]).alias("r"), org_in_text("person", "text").alias("o")).collect()
+    assert [tuple(r) for r in got] == [("chief people officer", "Acme Foods Inc"), (None, "Zeta Corp"), ("Head of sales", None), (None, "Foo Bar")]
 
 
 def test_wikidata(spark, tmp_path):
