@@ -42,6 +42,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block_mb: int = 32)
                 score = unit @ (right / np.linalg.norm(right, axis=1, keepdims=True)).T
                 keys = np.hstack([keys, np.broadcast_to(batch["vec_id"].to_numpy(), score.shape)])
                 top = np.hstack([top, score])
+                if top.shape[1] > 4 * k:  # all that may be among the k best: ties at the k-th place stay
+                    least = np.partition(np.round(top, 9), -k, axis=1)[:, -k]
+                    kept = np.flatnonzero((np.round(top, 9) >= least[:, None]).any(axis=0))
+                    keys, top = keys[:, kept], top[:, kept]
                 order = np.lexsort((keys, -np.round(top, 9)), axis=1)[:, :k]
                 keys, top = np.take_along_axis(keys, order, 1), np.take_along_axis(top, order, 1)
             yield pd.DataFrame({"query_id": np.repeat(ids, keys.shape[1]), "vec_id": keys.ravel(), "similarity": top.ravel()})
@@ -55,8 +59,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block_mb: int = 32)
 TICKER, GLEIF, SEC, WIKI, EXACT, SIMILARITY = 0.08, 0.05, 0.03, 0.02, 0.05, 0.3
 
 
-def prominence(similarity: Column, has_ticker: Column, source: Column, exact: Column) -> Column:
-    """Score for ranking; thresholds apply to the similarity itself, which this score can't reach."""
+def prominence(similarity: Column, listed: Column, sources: Column, exact: Column) -> Column:
+    """Score for ranking, by the sources of all rows of a canonical group; thresholds apply to the similarity itself, which this score can't reach."""
     add = lambda on, v: F.when(on, v).otherwise(0.0)
-    boost = add(has_ticker, TICKER) + add(source == "gleif", GLEIF) + add(source == "sec_edgar", SEC) + add(source.isin("wikidata", "wikipedia"), WIKI) + add(exact, EXACT)
+    has = lambda s: F.array_contains(sources, s)
+    boost = add(listed, TICKER) + add(has("gleif"), GLEIF) + add(has("sec_edgar"), SEC) + add(has("wikipedia"), WIKI) + add(exact, EXACT)
     return similarity * SIMILARITY + boost

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hierarchies, imports, normal_forms, relational, texts
+from . import hierarchies, imports, normal_forms, relational, searches, texts
 
-MODULES = (hierarchies, normal_forms, relational, texts, imports)
+MODULES = (hierarchies, normal_forms, relational, texts, imports, searches)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

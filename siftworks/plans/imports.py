@@ -9,7 +9,7 @@ from .. import pipeline
 from ..functions import normalize as N
 from ..functions import vectors as V
 from ..operators import store
-from ..operators.knn import nearest, prominence
+from ..operators.knn import nearest
 from ..operators.statements import numbered_nodes, repair_xml
 from ..sources import registries as R
 from ..tables import table
@@ -175,12 +175,6 @@ def l03_relation_label(spark, d):
     return triples(spark, d).where("predicate <> ''").select("seq", c("predicate").alias("label_value"), (c("confidence") >= 0.5).alias("sure"))
 
 
-@query("""select id, case when s >= 0.9 then 'single' when s >= 0.3 then 'candidate' end as outcome from (select id, (id % 101) / 101.0::double as s from organizations)""")
-def l07_org_qualifier(spark, d):
-    s = (c("id") % 101) / 101.0
-    return table(spark, d, "organizations").select("id", F.when(s >= 0.9, "single").when(s >= 0.3, "candidate").alias("outcome"))
-
-
 @query(f"""with {SQL_TRIPLES} select object, arg_max(seq, (confidence + case when org_id is not null then 0.2 else 0 end + case when contains(source_text, subject) then 0.2 else 0 end, -seq)) as seq from triples where object <> '' group by 1""")
 def l15_refined_triples(spark, d):
     score = c("confidence") + F.when(c("org_id").isNotNull(), 0.2).otherwise(0.0) + F.when(F.contains("source_text", c("subject")), 0.2).otherwise(0.0)
@@ -213,23 +207,6 @@ def v14_greedy_dedup(spark, d):
     return pipeline.greedy_dedup(rows).select("seq")
 
 
-_TIES = "select q.vec_id as query_id, v.vec_id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as s from embeddings q, embeddings v where q.vec_id % 50 = 0 and v.label = 3"
-
-
-@query(f"with k as ({_TIES}), r as (select *, row_number() over (partition by query_id order by round(s, 9) desc, vec_id) as n from k) select query_id, vec_id, round(s, 6) as similarity from r where n <= 5")
-def v07_filtered_search(spark, d):
-    e = table(spark, d, "embeddings")
-    found = nearest(e.where("vec_id % 50 = 0").select(c("vec_id").alias("query_id"), "embedding"), e.where("label = 3"), 5)
-    return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
-
-
-@query("select id, round(0.3::double * 0.8 + case when record['ticker'] is not null then 0.08 else 0 end + case source when 'gleif' then 0.05 when 'sec_edgar' then 0.03 when 'wikidata' then 0.02 when 'wikipedia' then 0.02 else 0 end + case when name_normalized = lower(name) then 0.05 else 0 end, 6) as score from organizations where name is not null and name_normalized is not null")
-def v06_prominence(spark, d):
-    orgs = table(spark, d, "organizations").where("name is not null and name_normalized is not null")
-    score = prominence(F.lit(0.8), F.element_at("record", F.lit("ticker")).isNotNull(), c("source"), c("name_normalized") == F.lower("name"))
-    return orgs.select("id", F.round(score, 6).alias("score"))
-
-
 @query("select vec_id, round(1 / (1 + exp(-25.0 * ((list_sum(list_transform(embedding, lambda x: x::double)) / 64 + 1) / 2 - 0.65))), 6) as calibrated from embeddings")
 def v18_calibrated_product(spark, d):
     total = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double"))

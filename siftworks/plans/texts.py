@@ -9,7 +9,7 @@ from ..functions import labels as L
 from ..functions import vectors as V
 from ..operators import statements as S
 from ..operators.chunks import chunk_documents
-from ..operators.knn import nearest, prominence
+from ..operators.knn import nearest
 from ..tables import table
 from .normal_forms import SQL_TRIPLES, triples
 
@@ -65,26 +65,6 @@ def v04_int8_knn(spark, d):
     return found.select("query_id", "vec_id", F.round(1 - c("similarity"), 6).alias("distance"))
 
 
-@query(f"""with {_KNN}, t as (select query_id, r.vec_id, s, 0.3 * s + case when record['ticker'] is not null then 0.08 else 0 end + case source when 'gleif' then 0.05 when 'sec_edgar' then 0.03 when 'wikidata' then 0.02 when 'wikipedia' then 0.02 else 0 end
-    + case when contains(coalesce(name_normalized, ''), 'energy') then 0.05 else 0 end as adjusted from r join organizations o on o.id = r.vec_id where n <= 100),
-  z as (select *, row_number() over (partition by query_id order by round(adjusted, 9) desc, vec_id) as rank from t) select query_id, vec_id, round(s, 6) as similarity, round(adjusted, 6) as adjusted_score from z where rank <= 10""")
-def v05_hybrid_search(spark, d):
-    """The hundred nearest organizations of each query, re-ranked by prominence; both scores are returned."""
-    e = table(spark, d, "embeddings")
-    found = nearest(e.where(_QUERY_SET).select(c("vec_id").alias("query_id"), "embedding"), e, 100)
-    orgs = table(spark, d, "organizations").select(c("id").alias("vec_id"), "source", F.element_at("record", F.lit("ticker")).isNotNull().alias("listed"), F.contains(F.coalesce("name_normalized", F.lit("")), F.lit("energy")).alias("exact"))
-    scored = found.join(orgs, "vec_id").withColumn("adjusted", prominence(c("similarity"), c("listed"), c("source"), c("exact")))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("adjusted", 9)), "vec_id")))
-    return ranked.where("rank <= 10").select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.round("adjusted", 6).alias("adjusted_score"))
-
-
-@query(f"""with {SQL_TRIPLES} select seq, round(least(1.0, confidence + case when lower(subject) = subject then 0.25 else 0 end + case when predicate = 'Director' then 0.1 else 0 end + case when org_id is not null then 0.15 else 0 end), 6) as score from triples""")
-def v08_person_match_score(spark, d):
-    add = lambda on, v: F.when(on, v).otherwise(0.0)
-    score = c("confidence") + add(F.lower("subject") == c("subject"), 0.25) + add(c("predicate") == "Director", 0.1) + add(c("org_id").isNotNull(), 0.15)
-    return triples(spark, d).select("seq", F.round(F.least(F.lit(1.0), score), 6).alias("score"))
-
-
 @query("""with c as (select label, i, avg(x) as m from (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as i from embeddings) group by 1, 2), v as (select label, list(m order by i) as centre from c group by 1),
   s as (select e.vec_id, v.label, list_cosine_similarity(e.embedding::double[], v.centre) as s from embeddings e, v), r as (select *, row_number() over (partition by vec_id order by round(s, 9) desc, label) as k from s)
   select vec_id, label, round(1 / (1 + exp(-25.0 * ((s + 1) / 2 - 0.65))), 6) as confidence from r where k <= 3""")
