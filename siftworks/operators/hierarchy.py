@@ -78,7 +78,10 @@ def _settle(ids: DataFrame, links: DataFrame) -> DataFrame:
     ways. Which nodes are under a circle is found likewise, choosing parents known to be. A doubling takes as many rounds
     as the logarithm of the longest way; lists of ancestors settle in a few choices.
     """
-    member: DataFrame | None = None
+    # nodes that name themselves are circles of their own
+    own = cut(links.where("child = parent").select(F.col("child").alias("id"), F.col("child").alias("label")).distinct())
+    member: DataFrame | None = None if own.isEmpty() else own
+    links = links.where("child <> parent")
     none = F.lit(False).alias("hit")
     stuck: DataFrame | None = None  # known to lie on or under a circle
     depth: DataFrame | None = None  # as measured last

@@ -77,6 +77,7 @@ CASES = {
     "tree with distant ancestors": [(1, None), (2, [1]), (3, [1, 2]), (4, [2, 3, 1]), (5, [99, None]), (6, [5, 5])],
     "circles": [(1, [2]), (2, [1]), (3, [2]), (4, [3, 5]), (5, []), (6, [6]), (7, [6, 5])],
     "joined circles": [(1, [2]), (2, [1]), (3, [2]), (4, [3, 5]), (5, [4]), (6, [5])],
+    "a node that names itself beside circles": [(1, [2]), (2, [1]), (3, []), (4, [3, 4]), (5, [4]), (6, [3])],
     "nothing": [],
     "repeats and nulls": [(1, []), (1, None), (2, [1]), (2, [1]), (None, [1])],
 }
