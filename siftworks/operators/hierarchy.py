@@ -41,20 +41,20 @@ def _rake(ids: DataFrame, links: DataFrame) -> tuple[list[tuple[DataFrame, DataF
 def _follow(chosen: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Follow the one chosen parent of each node by pointer doubling: ``(way, circles)``.
 
-    ``chosen`` has ``id``, ``parent`` and ``hit``. ``way`` has for each id the end ``to`` of its way up, the ``steps`` to it and
+    ``chosen`` has ``id``, ``parent``, ``hit`` and ``salt``, the number of the choice where several are followed at once. ``way`` has for each id the end ``to`` of its way up, the ``steps`` to it and
     whether any node on it was ``hit``. ``circles`` has the ids on circles of chosen parents with the smallest id of the circle
     as ``label``; it is None if every way ends. After k rounds a way that has not ended is 2^k steps long. Of acyclic ways more
     than 2^(k-1) would then have moved in the last round, so with 2^k at least twice the moved ones only circles and
     what hangs on them is left, and every pointer is on its circle.
     """
-    way = cut(chosen.select("id", F.col("parent").alias("to"), F.lit(1).cast("bigint").alias("steps"), F.col("id").alias("least"), "hit", F.lit(False).alias("done")))
+    way = cut(chosen.select("salt", "id", F.col("parent").alias("to"), F.lit(1).cast("bigint").alias("steps"), F.col("id").alias("least"), "hit", F.lit(False).alias("done")))
     k = 0
     while True:
-        ahead = way.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("s2"), F.col("least").alias("l2"), F.col("hit").alias("h2"))
+        ahead = way.select("salt", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("s2"), F.col("least").alias("l2"), F.col("hit").alias("h2"))
         seen = Observation()
         # a way that has ended looks for a key that is none's, so that the many that end in one root don't meet in one task
-        moved = way.withColumn("key", F.when(F.col("done"), F.col("id") - (1 << 62)).otherwise(F.col("to"))).drop("done").join(ahead.withColumnRenamed("to", "key"), "key", "left").select(
-            "id", F.coalesce("to2", "to").alias("to"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"), F.least("least", "l2").alias("least"),
+        moved = way.withColumn("key", F.when(F.col("done"), F.col("id") - (1 << 62)).otherwise(F.col("to"))).drop("done").join(ahead.withColumnRenamed("to", "key"), ["salt", "key"], "left").select(
+            "salt", "id", F.coalesce("to2", "to").alias("to"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"), F.least("least", "l2").alias("least"),
             (F.col("hit") | F.coalesce("h2", F.lit(False))).alias("hit"), F.col("to2").isNull().alias("done"),
         )
         way = cut(moved.observe(seen, F.count_if(~F.col("done")).alias("n")), replaces=way)
@@ -62,18 +62,39 @@ def _follow(chosen: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if n == 0:
             return way, None
         if 2**k >= 2 * n:
-            open_ = way.where("not done").join(way.select(F.col("id").alias("to")), "to", "left_semi")
-            on = cut(open_.select(F.col("to").alias("id")).distinct())
-            return (way, None) if on.isEmpty() else (way, cut(way.join(on, "id", "left_semi").select("id", F.col("least").alias("label"))))
+            open_ = way.where("not done").join(way.select("salt", F.col("id").alias("to")), ["salt", "to"], "left_semi")
+            on = cut(open_.select("salt", F.col("to").alias("id")).distinct())
+            return (way, None) if on.isEmpty() else (way, cut(way.join(on, ["salt", "id"], "left_semi").groupBy("id").agg(F.min("least").alias("label"))))
+
+
+def _contracted(circles, under, ids, links, depth, stuck, member):  # noqa: ANN001, ANN202
+    """The state of ``_settle`` with every circle as one node, its smallest id; ``under`` are nodes newly known to lie on or under one.
+
+    Choices followed at once may put a node on several circles; it goes to the smallest, and what is left of the
+    others is still a circle of the contracted graph.
+    """
+    up = lambda c: circles.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    if under is not None:
+        stuck = under if stuck is None else stuck.unionByName(under)
+    stuck = cut(stuck.join(up("id"), "id", "left").select(F.coalesce("id_label", "id").alias("id")).distinct())
+    if depth is not None:
+        depth = cut(depth.join(up("id"), "id", "left").groupBy(F.coalesce("id_label", "id").alias("id")).agg(F.max("depth").alias("depth")))
+    ids = cut(ids.join(up("id"), "id", "left").select(F.coalesce("id_label", "id").alias("id")).distinct())
+    joined = links.join(up("child"), "child", "left").join(up("parent"), "parent", "left")
+    links = cut(joined.select(F.coalesce("child_label", "child").alias("child"), F.coalesce("parent_label", "parent").alias("parent")).where("child <> parent").distinct())
+    if member is None:
+        return ids, links, depth, stuck, circles
+    again = member.join(circles.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", "left").select("id", F.coalesce("next", "label").alias("label"))
+    return ids, links, depth, stuck, cut(again.unionByName(circles.join(member.select("id"), "id", "left_anti")))
 
 
 def _settle(ids: DataFrame, links: DataFrame) -> DataFrame:
     """``(id, depth, circle, bad)``: largest number of steps from a root, whether the node is on a circle, and whether an ancestor is or it is itself.
 
     Every node chooses one parent and the chosen ways are measured by pointer doubling. Circles of chosen parents are
-    contracted to their smallest id. Nodes prefer parents known to lie on or under a circle, then by a hash that changes
-    every time, which exposes the circles that share nodes; without such parents the one that names the most parents itself.
-    When a choice shows no circle, nodes choose anew where another parent lies deeper. Around a circle somebody always
+    contracted to their smallest id. Among the nodes known to lie on or under a circle several choices by hash are followed at
+    once, which exposes the circles that share nodes. When they show none, all nodes choose the deepest parent known, at
+    first the one that names the most parents itself. When that shows no circle either, nodes choose anew where another parent lies deeper. Around a circle somebody always
     finds a deeper parent, so when nobody does, the contracted graph has no circle left and the depths are the longest
     ways. Which nodes are under a circle is found likewise, choosing parents known to be. A doubling takes as many rounds
     as the logarithm of the longest way; lists of ancestors settle in a few choices.
@@ -82,24 +103,29 @@ def _settle(ids: DataFrame, links: DataFrame) -> DataFrame:
     own = cut(links.where("child = parent").select(F.col("child").alias("id"), F.col("child").alias("label")).distinct())
     member: DataFrame | None = None if own.isEmpty() else own
     links = links.where("child <> parent")
-    none = F.lit(False).alias("hit")
+    none, zero = F.lit(False).alias("hit"), F.lit(0).alias("salt")
     stuck: DataFrame | None = None  # known to lie on or under a circle
     depth: DataFrame | None = None  # as measured last
     turn = 0
     while True:
+        circles = None
+        if stuck is not None:  # several choices at once among them, by hash
+            near = links.join(stuck.withColumnRenamed("id", "child"), "child", "left_semi").join(stuck.withColumnRenamed("id", "parent"), "parent", "left_semi")
+            salted = near.withColumn("salt", F.explode(F.array(*map(F.lit, range(4))))).groupBy("salt", F.col("child").alias("id"))
+            way, circles = _follow(salted.agg(F.max_by("parent", F.xxhash64(F.lit(turn), "salt", "child", "parent")).alias("parent")).select("salt", "id", "parent", none))
+            turn += 1
+        if circles is not None:
+            ids, links, depth, stuck, member = _contracted(circles, None, ids, links, depth, stuck, member)
+            continue
         named = links.groupBy(F.col("child").alias("parent")).agg(F.count(F.lit(1)).alias("n"))
         seen_by = links.join(named, "parent", "left")
         order = [F.coalesce("n", F.lit(0)), -F.col("parent")]
         if depth is not None:
             seen_by = seen_by.join(depth.select(F.col("id").alias("parent"), "depth"), "parent", "left")
             order = [F.col("depth"), *order]
-        if stuck is not None:
-            seen_by = seen_by.join(stuck.select(F.col("id").alias("parent"), F.lit(1).alias("stuck")), "parent", "left")
-            order = [F.coalesce("stuck", F.lit(0)), F.when(F.col("stuck") == 1, F.xxhash64(F.lit(turn), "parent")), *order]
         chosen = seen_by.groupBy(F.col("child").alias("id")).agg(F.max_by("parent", F.struct(*order)).alias("parent"))
-        turn += 1
         while True:
-            way, circles = _follow(chosen.select("id", "parent", none))
+            way, circles = _follow(chosen.select(zero, "id", "parent", none))
             if circles is not None:
                 break
             depth = cut(ids.join(way.select("id", F.col("steps").alias("depth")), "id", "left").select("id", F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth")))
@@ -113,20 +139,7 @@ def _settle(ids: DataFrame, links: DataFrame) -> DataFrame:
                 break
         if circles is None:
             break
-        up = lambda c: circles.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
-        under = way.where("not done").select("id")
-        stuck = under if stuck is None else stuck.unionByName(under)
-        stuck = cut(stuck.join(up("id"), "id", "left").select(F.coalesce("id_label", "id").alias("id")).distinct())
-        if depth is not None:
-            depth = cut(depth.join(up("id"), "id", "left").groupBy(F.coalesce("id_label", "id").alias("id")).agg(F.max("depth").alias("depth")))
-        ids = cut(ids.join(up("id"), "id", "left").select(F.coalesce("id_label", "id").alias("id")).distinct())
-        joined = links.join(up("child"), "child", "left").join(up("parent"), "parent", "left")
-        links = cut(joined.select(F.coalesce("child_label", "child").alias("child"), F.coalesce("parent_label", "parent").alias("parent")).where("child <> parent").distinct())
-        if member is None:
-            member = circles
-        else:
-            again = member.join(circles.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", "left").select("id", F.coalesce("next", "label").alias("label"))
-            member = cut(again.unionByName(circles.join(member.select("id"), "id", "left_anti")))
+        ids, links, depth, stuck, member = _contracted(circles, way.where("not done").select("id").distinct(), ids, links, depth, stuck, member)
     if member is None:
         return depth.select("id", "depth", F.lit(False).alias("circle"), F.lit(False).alias("bad"))
     bad = cut(member.select(F.col("label").alias("id")).distinct())
@@ -134,7 +147,7 @@ def _settle(ids: DataFrame, links: DataFrame) -> DataFrame:
     while True:
         known = bad.select(F.col("id").alias("parent"), F.lit(True).alias("hit"))
         pick = links.join(known, "parent", "left").groupBy(F.col("child").alias("id")).agg(F.max(F.struct(F.coalesce("hit", F.lit(False)).alias("hit"), (-F.col("parent")).alias("key"))).alias("b"))
-        way, _ = _follow(pick.select("id", (-F.col("b.key")).alias("parent"), F.col("b.hit").alias("hit")))
+        way, _ = _follow(pick.select(zero, "id", (-F.col("b.key")).alias("parent"), F.col("b.hit").alias("hit")))
         bad = cut(bad.unionByName(way.where("hit").select("id")).distinct())
         before, n = n, bad.count()
         if n == before:
