@@ -78,16 +78,21 @@ CASES = {
     "circles": [(1, [2]), (2, [1]), (3, [2]), (4, [3, 5]), (5, []), (6, [6]), (7, [6, 5])],
     "joined circles": [(1, [2]), (2, [1]), (3, [2]), (4, [3, 5]), (5, [4]), (6, [5])],
     "a node that names itself beside circles": [(1, [2]), (2, [1]), (3, []), (4, [3, 4]), (5, [4]), (6, [3])],
-    "nothing": [],
     "repeats and nulls": [(1, []), (1, None), (2, [1]), (2, [1]), (None, [1])],
 }
 
 
-@pytest.mark.parametrize("name", CASES)
-def test_hierarchy(spark, name):
-    found = hierarchy(spark.createDataFrame(CASES[name], "id bigint, parent_ids array<bigint>")).collect()
-    want, _ = brute(CASES[name])
-    assert {r["id"]: (r["status"], r["depth"]) for r in found} == want
+def test_hierarchy(spark):
+    """All cases in one table, their ids kept apart."""
+    shift = lambda i, k: None if i is None else i + 1000 * k
+    nodes = [(shift(i, k), ps and [shift(p, k) for p in ps]) for k, case in enumerate(CASES.values()) for i, ps in case]
+    found = hierarchy(spark.createDataFrame(nodes, "id bigint, parent_ids array<bigint>")).collect()
+    want, _ = brute(nodes)
+    assert len(found) == len(want) and {r["id"]: (r["status"], r["depth"]) for r in found} == want
+
+
+def test_empty_hierarchy(spark):
+    assert hierarchy(spark.createDataFrame([], "id bigint, parent_ids array<bigint>")).count() == 0
 
 
 def test_hierarchy_ignores_other_columns(spark):
