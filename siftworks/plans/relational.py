@@ -214,12 +214,38 @@ def j15_date_overlap(spark, d):
 @query(f"""with {SQL_TRIPLES}, s as (select seq, source_text, object from triples) select t.seq, min(s.seq) as sentence from triples t join s on s.object = t.object and contains(s.source_text, t.subject) group by 1""")
 def j16_source_sentence(spark, d):
     """The first sentence about the same object that names the subject."""
-    rows = triples(spark, d)
-    sentences = rows.select(c("seq").alias("sentence"), "source_text", "object")
-    # sentences are grouped by object and subject first: many statements share both
-    wanted = rows.select("object", "subject").distinct().join(sentences, "object").where(F.contains("source_text", c("subject")))
-    first = wanted.groupBy("object", "subject").agg(F.min("sentence").alias("sentence"))
-    return rows.select("seq", "object", "subject").join(first, ["object", "subject"]).select("seq", "sentence")
+    return first_sentences(triples(spark, d))
+
+
+# Pieces of a text that stand for a subject: a blank with the character before and six or one after it, or as many characters as the number says.
+_PIECES = {"blank 6": r"(?s)(?=(. .{6}))", "blank 1": r"(?s)(?=(. .))", "3": r"(?s)(?=(.{3}))", "2": r"(?s)(?=(.{2}))", "1": r"(?s)(?=(.))"}
+
+
+def first_sentences(rows):
+    """``(seq, sentence)``: of the rows with the same object whose ``source_text`` contains the subject of row ``seq``, the smallest ``seq``.
+
+    One object may have any number of subjects and sentences, so they meet by the object with a piece of text: a subject by the last
+    piece of the first kind that it has, a sentence by each of its pieces. Pieces of other kinds than the first, of which a text has many, are
+    taken only where a subject of the object needs them. Equal subjects of an object are looked up once, by the smallest ``seq``. What meets is compared exactly.
+    """
+    pieces = lambda text, kind: F.regexp_extract_all(text, F.lit(_PIECES[kind]), F.lit(1))
+    key = [F.xxhash64("object", "kind", "piece").alias("key"), F.hash("object").alias("about")]  # 96 bits stand for the object and the piece
+    first, *others = _PIECES
+    named = rows.where("subject is not null and object is not null").select("seq", "object", "subject").withColumn("own", F.min("seq").over(Window.partitionBy("object", "subject")))
+    own = [F.struct(F.lit(k).alias("kind"), F.element_at(pieces(c("subject"), k), F.lit(-1)).alias("piece")) for k in _PIECES]
+    kept = F.coalesce(*[F.when(c("subject").rlike(_PIECES[k]), s) for k, s in zip(_PIECES, own, strict=True)], F.struct(F.lit("").alias("kind"), F.lit("").alias("piece")))
+    subjects = named.where("seq = own").select("own", "object", "subject", kept.alias("p")).select("own", "object", "subject", c("p.kind").alias("kind"), c("p.piece").alias("piece"))
+
+    texts = rows.where("source_text is not null and object is not null").select(c("seq").alias("sentence"), "object", "source_text")
+    wanted = subjects.where(c("kind") != first).select("object", "kind").distinct()
+    every = F.when(c("kind") == "", F.array(F.lit("")))
+    for kind in others:
+        every = every.when(c("kind") == kind, pieces(c("source_text"), kind))
+    far = texts.select("object", "sentence", F.lit(first).alias("kind"), F.explode(F.array_distinct(pieces(c("source_text"), first))).alias("piece"))
+    near = texts.join(wanted, "object").select("object", "sentence", "kind", F.explode(F.array_distinct(every)).alias("piece"))
+    met = far.unionByName(near).select(*key, "sentence").join(subjects.select(*key, "own", "subject"), ["key", "about"]).select("own", "subject", "sentence")
+    found = met.join(texts.select("sentence", "source_text"), "sentence").where(F.contains("source_text", c("subject"))).groupBy("own").agg(F.min("sentence").alias("sentence"))
+    return named.select("seq", "own").join(found, "own").select("seq", "sentence")
 
 
 @query(f"""with {SQL_TRIPLES} select t.seq, coalesce(o.name, t.object) as object_name, coalesce(o.source, 'none') as object_source from triples t left join organizations o on o.id = t.org_id""")

@@ -1,6 +1,7 @@
 import numpy as np
 
 from siftworks.operators import search
+from siftworks.plans.relational import first_sentences
 
 WORDS = ("north", "northern", "ern", "gas", "fund", "bank", "ab", "x")
 
@@ -74,3 +75,30 @@ def test_terms_are_found_within_words():
     index = search._Terms(["ern", "north", "b"])
     met = index.rows(["northern bb b", None, "", "gas", "ern ern"])
     assert {t: list(at) for t, at in met.items()} == {0: [0, 4], 1: [0], 2: [0]}
+
+
+def test_first_sentences_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    subjects = ["", " ", "a", "ab", "abc", "Ann", "ann", "Jo Li", "Jo Livingstone", "Jo  Livingstone", " Jo Livingstone ", "Mr. Jo Livingstone Jr.", "J. Li", "x\ny zzzzzzz", "Zoë Müllerová", "o L", None]
+    rows = []
+    for n in range(400):
+        subject, object_ = subjects[rng.integers(len(subjects))], ["Acme", "Acme Ann", "", None][rng.integers(4)]
+        text = None if n % 50 == 1 else "".join(str(subjects[i]) for i in rng.integers(0, len(subjects), 3)) + " is chief of " + str(object_)
+        rows.append((n, object_, subject, text))
+    best = {}
+    for seq, o, subject, _ in rows:
+        met = [n for n, about, _, text in rows if None not in (o, subject, text) and about == o and subject in text]
+        if met:
+            best[seq] = min(met)
+    found = first_sentences(spark.createDataFrame(rows, "seq bigint, object string, subject string, source_text string")).collect()
+    assert len(found) == len(best) and {r["seq"]: r["sentence"] for r in found} == best
+
+
+def test_subjects_and_sentences_of_one_object_do_not_all_meet(spark):
+    rows = spark.range(3000).selectExpr("id as seq", "'Acme' as object", "concat('Jo Name', id) as subject", "concat('Jo Name', id, ' is chief') as source_text")
+    met = []
+    for x in first_sentences(rows)._jdf.queryExecution().optimizedPlan().toString().split("\n"):
+        if "Join" in x and "Contains" in x:
+            met.append(x)
+    assert met and all("sentence#" in x for x in met)  # compared as pairs that share a piece of text, not as all of an object
+    assert first_sentences(rows).count() == 3000
