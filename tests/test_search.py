@@ -54,6 +54,14 @@ def test_candidates_in_several_groups_of_queries(spark):
     assert found == expected
 
 
+def test_the_driver_keeps_no_group_of_queries(spark, monkeypatch):
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, value: sent.append(send(sc, value)) or sent[-1])
+    found, expected = _found(spark, 2000, block_mb=1)
+    assert len(sent) > 1 and found == expected
+    assert not any(b._jbroadcast.isValid() for b in sent)
+
+
 def _written(spark):
     """Rows written to shuffles so far."""
     sc = spark.sparkContext
