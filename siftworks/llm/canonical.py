@@ -88,7 +88,7 @@ def canonical_codes(
     misspellings, if it alone has the least edit distance, at most a quarter of the letters and at least one.
 
     Everything is keyed by distinct value, so a value that a third of all rows share is scored once. The index grows with
-    the list and not with the data; Spark decides by its measured size whether it is broadcast.
+    the list and not with the data, and is broadcast.
 
     NULL and blank values have no row. A value of fewer than ``least_length`` letters can only match exactly. Aliases that several codes
     share take the smallest code in the exact step. Values keep their spelling; extra columns are not read.
@@ -109,12 +109,14 @@ def canonical_codes(
     index = cut(index.join(rarity, "gram"))
     norms = index.groupBy("a").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("alias_norm"))
     # spread by value before the index multiplies the rows, in as many tasks as the session asks for
-    spread = open_.repartition(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v")
+    tasks = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = open_.repartition(tasks, "v")
     broken = spread.select("v", F.explode(grams(F.col("norm"))).alias("gram"))
     weights = index.select("gram", F.col("w").alias("gw")).distinct()
     weighed = cut(broken.join(weights, "gram", "left").withColumn("gw", F.coalesce("gw", F.log(F.lit(n + 1.0)) / 2)))
     value_norms = weighed.groupBy("v").agg(F.sqrt(F.sum(F.col("gw") ** 2)).alias("value_norm"))
-    met = weighed.join(index, "gram").groupBy("v", "a").agg(F.sum(F.col("gw") * F.col("w")).alias("dot"))
+    # parted by value beside a copy of the index: the rows that the index multiplies stay where they are made
+    met = weighed.repartition(tasks, "v").join(F.broadcast(index), "gram").groupBy("v", "a").agg(F.sum(F.col("gw") * F.col("w")).alias("dot"))
     scored = met.join(fuzzy.join(norms, "a"), "a").join(open_.join(value_norms, "v"), "v")
     near = F.floor(F.greatest(F.length("norm") / 4.0, F.lit(1.0)))
     bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))

@@ -32,6 +32,9 @@ _DROP = frozenset("the and und et y e of de company co".split())
 _WORD_OF = {w: code for code, ws in BUSINESS.items() for w in ws.split()}
 _FORM_OF = {w: code for code, ws in LEGAL.items() for w in ws.split()}
 _LONG = [w for w in _WORD_OF if len(w) >= 5]
+_LONG_BY: dict[str, list[str]] = {}
+for _w in _LONG:
+    _LONG_BY.setdefault(_w[0], []).append(_w)
 _NEAR: dict[str, str] = {}
 for _w in _LONG:
     for _i in range(len(_w)):
@@ -42,6 +45,8 @@ for _w in _LONG:
 _PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i"})
 _MARK = re.compile(r"[(/\[]\s*([A-Za-z]{2})\s*[)/\]]\s*[.,]?\s*$")
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ][a-zà-ÿ])")
+_INITIALS = re.compile(r"\b(?:[a-z]\.){2,}(?:[a-z]\b)?|\b[a-z](?:\.[a-z])+\b\.?|\b[a-z]/[a-z]\b")
+_TOKEN, _TWICE = re.compile(r"[a-z0-9]+\.?"), re.compile(r"(.)\1+")
 _VOWELS = frozenset("aeiouy")
 
 
@@ -56,7 +61,7 @@ def sound(word: str) -> str:
     if not word.isalpha():
         word = word.translate({48: "o", 49: "l", 51: "e", 53: "s"})
     word = word.replace("ph", "f").replace("ck", "k").replace("ks", "x").replace("y", "i").replace("w", "v").replace("z", "s").replace("c", "k").replace("kk", "k")
-    return re.sub(r"(.)\1+", r"\1", word)
+    return _TWICE.sub(r"\1", word)
 
 
 @lru_cache(maxsize=30_000)
@@ -67,8 +72,8 @@ def business(word: str, dotted: bool) -> str | None:
     if 3 <= len(word):
         consonants = not (_VOWELS & set(word))
         if dotted or consonants or len(word) >= 6:
-            for w in _LONG:
-                if w[0] == word[0] and len(word) < len(w):
+            for w in _LONG_BY.get(word[0], ()):
+                if len(word) < len(w):
                     if w.startswith(word) and (dotted or consonants or len(word) >= len(w) - 3):
                         return _WORD_OF[w]
                     if consonants:
@@ -97,10 +102,9 @@ def parse(name: str) -> tuple[list[str], str, int, str, str]:
         name = _CAMEL.sub(" ", name)
     text = plain(name).replace("'", "").replace("’", "")
     legal, code, fund = "", "", 0
-    joined = re.sub(r"\b(?:[a-z]\.){2,}(?:[a-z]\b)?|\b[a-z](?:\.[a-z])+\b\.?|\b[a-z]/[a-z]\b", lambda m: m.group().replace(".", "").replace("/", "") + " ", text)
-    joined = joined.replace("s.p.a", "spa").replace("g.m.b.h", "gmbh")
-    joined = re.sub(r"public limited company", "plc", joined)
-    tokens = re.findall(r"[a-z0-9]+\.?", joined)
+    joined = _INITIALS.sub(lambda m: m.group().replace(".", "").replace("/", "") + " ", text) if "." in text or "/" in text else text
+    joined = joined.replace("s.p.a", "spa").replace("g.m.b.h", "gmbh").replace("public limited company", "plc")
+    tokens = _TOKEN.findall(joined)
     words: list[str] = []
     listed = {_WORD_OF[t.rstrip(".")] for t in tokens if t.rstrip(".") in _WORD_OF}
     k = 0

@@ -102,9 +102,10 @@ def years_apart(a: Column, b: Column) -> Column:
 def keys(e: DataFrame, rules: list[tuple[str, list[Column]]]) -> DataFrame:
     """``(rule, key)`` rows of each entry: a key is the hash of the rule's columns, if none of them is NULL; an array column gives a key for each of its words."""
     def made(k: int, cols: list[Column]) -> Column:
-        whole = F.transform(F.array_compact(cols[0]), lambda w: F.concat_ws("|", F.lit(str(k)), w, *cols[1:]))
         known = reduce(lambda x, y: x & y, [c.isNotNull() for c in cols])
-        return F.when(known, F.transform(whole, lambda s: F.struct(F.lit(k).alias("rule"), F.xxhash64(s).alias("key"))))
-
-    return e.withColumn("k", F.explode(F.flatten(F.array_compact(F.array(*[made(k, cols) for k, (_, cols) in enumerate(rules)]))))).select("*", "k.*").drop("k")
+        return F.when(known, F.struct(F.lit(k).alias("rule"), F.xxhash64(F.lit(k), *cols[1:]).alias("rest"), cols[0].alias("ws")))
 
+    # exploded twice, by rule and by word, which is compiled; functions of arrays are not
+    each = e.withColumn("k", F.explode(F.array(*[made(k, cols) for k, (_, cols) in enumerate(rules)]))).where("k is not null")
+    each = each.select("*", "k.*").drop("k").withColumn("w", F.explode("ws")).where("w is not null")
+    return each.withColumn("key", F.xxhash64("rest", "w")).drop("rest", "ws", "w")

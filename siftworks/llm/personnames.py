@@ -25,13 +25,14 @@ FAMILIAR = {
     "barbara": "barb babs", "catherine": "cathy", "dorothy": "dot dolly", "eleanor": "nell ellie", "jessica": "jess", "judith": "judy", "helen": "nellie", "sarah": "sally", "alfred": "alf", "leonard": "len lenny",
     "maximilian": "max", "josef": "sepp", "guillermo": "memo", "ignacio": "nacho", "dolores": "lola", "concepcion": "concha", "enrique": "quique", "rafael": "rafa", "jean": "jeannot", "wilhelm": "willi",
 }
+_WORD, _UMLAUT = re.compile(r"[^\W_]+"), re.compile(r"(?<=[aou])e")
 _FULL = {s: full for full, shorts in FAMILIAR.items() for s in shorts.split()}
 
 
 @lru_cache(maxsize=30_000)
 def canonical(word: str) -> str:
     """The shared spelling of a name: a familiar form as its full one, ae, oe and ue as a, o and u."""
-    return sound(re.sub(r"(?<=[aou])e", "", _FULL.get(word, word)))
+    return sound(_UMLAUT.sub("", _FULL.get(word, word)))
 
 
 def parse(name: str) -> list[str]:
@@ -40,9 +41,8 @@ def parse(name: str) -> list[str]:
     if not text.isascii() or any(ch.isdigit() for ch in text):
         text = re.sub(r"(?<=[a-z])0|0(?=[a-z])", "o", re.sub(r"(?<=[a-z])1|1(?=[a-z])", "l", text))
     head, comma, tail = text.partition(",")
-    rest = [w for w in re.findall(r"[^\W_]+", tail.replace("'", "").replace("’", "")) if w not in TITLES]
-    first = [w for w in re.findall(r"[^\W_]+", head.replace("'", "").replace("’", "")) if w not in TITLES]
-    return rest + first
+    listed = lambda part: [w for w in _WORD.findall(part.replace("'", "").replace("’", "")) if w not in TITLES]
+    return listed(tail) + listed(head) if comma else listed(head)
 
 
 def _rows(names: pd.Series) -> pd.DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..tables import cut
+from ..tables import cut, release
 from . import names, orgnames, personnames
 from .canonical import canonical_countries, canonical_roles
 from .cascade import agree
@@ -20,10 +20,11 @@ def word_cost(x: Column, y: Column) -> Column:
     """Log-likelihood that one writes the word x for y: the same, an initial, a slip or two of the keys, cut off, another word."""
     slips = edits(x, y)
     longest, shortest = F.greatest(F.length(x), F.length(y)), F.least(F.length(x), F.length(y))
+    allowed = F.greatest(F.floor(longest / 4), F.lit(1))
     return (
         F.when(x == y, SAME)
         .when(shortest == 1, F.when(F.substring(x, 1, 1) == F.substring(y, 1, 1), INITIAL).otherwise(ELSE))
-        .when(slips <= F.greatest(F.floor(longest / 4), F.lit(1)), slips * SLIP)
+        .when((longest - shortest <= allowed) & (slips <= allowed), slips * SLIP)
         .when((shortest >= 4) & (F.startswith(x, y) | F.startswith(y, x)), CUT)
         .otherwise(ELSE)
     )
@@ -42,12 +43,12 @@ def name_likelihood(a: Column, b: Column) -> Column:
     return F.when(F.size(a) <= F.size(b), one_way(a, b)).otherwise(one_way(b, a))
 
 
-def attribute(scored: DataFrame, sure: float, keyed: DataFrame) -> DataFrame:
+def attribute(scored: DataFrame, sure: float) -> DataFrame:
     """``(variant, canonical)``: of the scored candidates ``(variant, candidate, posterior)`` the likeliest one, ties to the smaller candidate.
 
     A variant that is ``sure`` of several candidates belongs to each, which makes them one: their own forms had too little in common.
     """
-    scored = cut(scored, replaces=keyed)  # the keys have served
+    scored = cut(scored)
     best = scored.groupBy("variant").agg(F.max_by("candidate", F.struct("posterior", -F.col("candidate"))).alias("canonical"))
     return best.unionByName(scored.where(F.col("posterior") >= sure).select("variant", F.col("candidate").alias("canonical"))).distinct()
 
@@ -56,20 +57,25 @@ def ranked_pairs(keyed: DataFrame, fits: Column) -> DataFrame:
     """``(variant, candidate)`` for entries that share a key, the better-ranked one as candidate; each pair once.
 
     ``keyed`` has ``key``, ``nth``, ``rank`` (the larger the better; of equals the smaller ``nth``) and what ``fits``, a
-    condition on the sides ``l`` and ``r``, needs: pairs it rules out are dropped before anything is shuffled again.
-    The pairs come out partitioned by ``variant``, as the next join wants them.
+    condition on the sides ``l`` and ``r``, needs: pairs it rules out are dropped before anything is shuffled again. Both
+    sides are read from one shuffle, so the keys are made once and not written besides; it leaves the disk with this step.
     """
     left, right = keyed.alias("l"), keyed.alias("r")
     met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.nth") < F.col("r.nth")) & fits)
     ahead = F.col("l.rank") >= F.col("r.rank")
     pairs = met.select(F.when(ahead, F.col("r.nth")).otherwise(F.col("l.nth")).alias("variant"), F.when(ahead, F.col("l.nth")).otherwise(F.col("r.nth")).alias("candidate"))
-    return pairs.repartition("variant").distinct()
+    release(keyed.sparkSession)
+    pairs = cut(pairs.distinct())
+    release(keyed.sparkSession)
+    return pairs
 
 
-def left_out(word: Column) -> Column:
-    """The word, and the word without each of its letters."""
-    less = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) >= 3, less).otherwise(F.array().cast("array<string>"))))
+def left_out(df: DataFrame, beside: Column, nth: str) -> DataFrame:
+    """``(key, nth)``: hashes of each of the ``sounds``, and of it without each of its letters, with the number ``beside``; repeats are possible."""
+    words = df.select(nth, beside.alias("beside"), F.explode("sounds").alias("w"))
+    cuts = words.select("*", F.explode(F.sequence(F.lit(0), F.when(F.length("w") >= 3, F.length("w")).otherwise(0))).alias("i"))
+    less = F.when(F.col("i") == 0, F.col("w")).otherwise(F.concat(F.expr("substring(w, 1, i - 1)"), F.expr("substring(w, i + 1, length(w))")))
+    return cuts.select(F.xxhash64("beside", less).alias("key"), nth)
 
 
 # --- organizations -----------------------------------------------------------------------------------------------
@@ -101,17 +107,18 @@ def org_clusters(orgs: DataFrame, countries: DataFrame) -> tuple[DataFrame, Data
         ("name, business", [name, business, fund]), ("name, country", [name, fund, f("country")]), ("run together", [run, business, fund]), ("city, day", [F.array("city"), f("day")]), ("phone, country", [F.array("phone"), f("country")]),
     ]
     rank = f("uses") * 16 + F.size("sounds") * 2 + F.when(f("business") != "", 1).otherwise(0)
-    keyed = cut(keys(spelled, rules).select("key", "nth", rank.alias("rank"), "unit", "country"))
+    keyed = keys(spelled, rules).select("key", "nth", rank.alias("rank"), "unit", "country")
     apart = (f("l.unit") != f("r.unit")) & (f("l.country").isNull() | f("r.country").isNull() | (f("l.country") == f("r.country")))
     side = F.struct("unit", "uses", *facts)
     met = ranked_pairs(keyed, apart).join(spelled.select(f("nth").alias("variant"), side.alias("a")), "variant").join(spelled.select(f("nth").alias("candidate"), side.alias("b")), "candidate")
     posterior = F.log(f("b.uses") + 1.0) + name_likelihood(f("a.sounds"), f("b.sounds"))
     scored = met.where(agree()).select("variant", "candidate", posterior.alias("posterior"))
     units = spelled.select("nth", "unit")
-    links = attribute(scored, -5.0, keyed).join(units.select(f("nth").alias("variant"), f("unit").alias("a")), "variant").join(units.select(f("nth").alias("canonical"), f("unit").alias("b")), "canonical")
+    links = attribute(scored, -5.0).join(units.select(f("nth").alias("variant"), f("unit").alias("a")), "variant").join(units.select(f("nth").alias("canonical"), f("unit").alias("b")), "canonical")
     found = cut(components(links.select("a", "b"), "a", "b").select(f("node").alias("unit"), f("root").alias("cluster")))
     in_cluster = lambda df: df.join(found, "unit", "left").withColumn("cluster", F.coalesce("cluster", "unit"))
-    return cut(in_cluster(whole.select("id", "unit", "source", "source_id", "name"))), cut(in_cluster(spelled.select("unit", "words", "sounds", "business", "fund", "legal", "country", "rows")))
+    rows = cut(in_cluster(whole.select("id", "unit", "source", "source_id", "name")), replaces=whole)
+    return rows, cut(in_cluster(spelled.select("unit", "words", "sounds", "business", "fund", "legal", "country", "rows")), replaces=spelled)
 
 
 def org_pairs(rows: DataFrame) -> DataFrame:
@@ -145,10 +152,12 @@ def employer_pairs(people: DataFrame, rows: DataFrame, spelled: DataFrame) -> Da
     parts_of_two, parts_of_one = F.when(two, F.flatten(F.transform("words", ends))), F.when(one, ends(F.get("words", F.lit(0))))
     # a word as it is and with each letter left out: two words a slip apart have one of them in common. Run together with a slip: the
     # beginning or end of the whole, which is that of one of two words
-    rules = lambda x, y: [("word", [F.flatten(F.transform("sounds", left_out)), f("business"), fund]), ("run", [run, f("business"), fund]), ("two", [x, f("business"), fund]), ("one", [y, f("business"), fund])]
-    left = keys(texts.select("nth", "words", "sounds", "business", "fund"), rules(parts_of_two, parts_of_one)).select("key", "nth").distinct()
-    right = keys(spellings.select("candidate", "words", "sounds", "business", "fund"), rules(parts_of_one, parts_of_two)).select("key", "candidate").distinct()
-    met = left.join(right, "key").select("nth", "candidate").distinct()
+    rules = lambda x, y: [("run", [run, f("business"), fund]), ("two", [x, f("business"), fund]), ("one", [y, f("business"), fund])]
+    made = lambda df, n, x, y: left_out(df, F.xxhash64("business", "fund"), n).union(keys(df.select(n, "words", "business", "fund"), rules(x, y)).select("key", n))
+    left, right = made(texts, "nth", parts_of_two, parts_of_one), made(spellings, "candidate", parts_of_one, parts_of_two)
+    release(people.sparkSession)
+    met = cut(left.join(right, "key").select("nth", "candidate").distinct())
+    release(people.sparkSession)
     met = met.join(texts.select("nth", F.struct("words", "sounds", "legal", "mark").alias("a")), "nth").join(spellings.select("candidate", "cluster", F.struct("words", "sounds", "legal", "country", "rows").alias("b")), "candidate")
     form = F.when((f("a.legal") == "") | (f("b.legal") == ""), -0.5).when(f("a.legal") == f("b.legal"), 0.0).otherwise(-3.0)
     mark = F.when(F.length("a.mark") != 2, 0.0).when(f("b.country").isNull(), -0.5).when(f("a.mark") == f("b.country"), 0.0).otherwise(-6.0)
@@ -184,12 +193,12 @@ def person_entries(spark: SparkSession, people: DataFrame, roles: DataFrame | No
     else:
         base = base.withColumn("role", f("known_for_role"))
     org = F.when(f("known_for_org_id").isNotNull(), F.concat(F.lit("#"), f("known_for_org_id"))).otherwise(f("employer"))
-    base = base.select("id", "name", "source", "source_id", "words", "sounds", "birth", F.coalesce("c2", "c1").alias("nation"), "role", org.alias("org"), F.xxhash64(F.concat_ws("|", "source", "source_id")).alias("origin"))
+    base = base.select("id", "name", "source", "source_id", "sounds", "birth", F.coalesce("c2", "c1").alias("nation"), "role", org.alias("org"), F.xxhash64(F.concat_ws("|", "source", "source_id")).alias("origin"))
     # equal entries get one number: the smallest id with the same hash of all that is compared
     same = F.xxhash64("sounds", "birth", "nation", "role", "org", "origin")
     base = cut(base.where("size(sounds) > 0").withColumn("same", same))
     first = base.groupBy("same").agg(F.min("id").alias("nth"), F.count(F.lit(1)).alias("rows"))
-    rows = cut(base.join(first, "same").drop("same", "words"), replaces=base)
+    rows = cut(base.join(first, "same").drop("same"), replaces=base)
     return rows.select("id", "name", "nth"), rows.where("id = nth").drop("id", "name", "source", "source_id")
 
 
@@ -213,28 +222,28 @@ def person_pairs(spark: SparkSession, people: DataFrame, roles: DataFrame | None
     grouped = cut(grouped.withColumn("text", spelling).join(uses, "text").join(cut(employers), "org", "left").select("nth", "sounds", "birth", "nation", "role", F.when(f("org").isNotNull(), F.xxhash64("org")).alias("org"), F.coalesce("org_odds", F.lit(6.0)).alias("org_odds"), "origin", "uses", "text"))
     full = F.aggregate("sounds", F.lit(0), lambda t, w: t + F.when(F.length(w) > 1, 1).otherwise(0))
     rank = f("uses") * 32 + F.least(full, F.lit(15)) * 2 + F.when(F.length("birth") == 10, 1).otherwise(0)
-    first = lambda ws: F.transform(ws, lambda w: F.substring(w, 1, 1))
-    # a word and the initial of another one; the initials of any two words
-    tag = lambda w: F.transform(F.array_distinct(first(F.filter("sounds", lambda v: v != w))), lambda i: F.concat_ws("|", w, i))
-    tags = F.flatten(F.transform(F.array_distinct("sounds"), tag))
-    two = lambda ws: F.array_distinct(F.flatten(F.transform(ws, lambda x, k: F.transform(F.slice(ws, k + 2, F.size(ws)), lambda y: F.concat(F.least(x, y), F.greatest(x, y))))))
-    named = grouped.where("size(sounds) >= 2").select("nth", "birth", "nation", "org", "org_odds", "text", rank.alias("rank"), tags.alias("tags"), two(first(f("sounds"))).alias("two"))
-    month, hot, none = F.substring("birth", 1, 7), f("org_odds") < 3.0, F.array().cast("array<bigint>")
-    made = lambda sign, known, by, *facts: F.when(known, F.transform(by, lambda t: F.xxhash64(F.lit(sign), t, *facts))).otherwise(none)
-    own = F.array(f("text"))
-    made = F.concat(
-        made("m", f("birth").isNotNull(), f("tags"), month),
-        made("d", F.length("birth") == 10, f("two"), f("birth")),
-        made("o", f("org").isNotNull() & ~hot, f("two"), f("org")),
-        made("h", f("org").isNotNull() & hot & f("nation").isNotNull(), f("tags"), f("nation"), f("org")),
-        made("k", f("org").isNotNull() & hot & f("birth").isNotNull(), f("two"), f("org"), month),
-        made("w", f("org").isNotNull() & hot, own, f("org")),
-        made("n", f("nation").isNotNull(), own, f("nation")),
-    )
     # as numbers: a day is yyyymmdd, a month yyyymm00
     number = F.rpad(F.regexp_replace("birth", "-", ""), 8, "0").cast("int")
-    keyed = named.select("*", F.explode(F.array_distinct(made)).alias("key")).select("nth", "rank", "key", number.alias("number"), F.when(f("nation").isNotNull(), F.hash("nation")).alias("code"))
-    keyed = cut(keyed.withColumnsRenamed({"number": "birth", "code": "nation"}))
+    facts = grouped.where("size(sounds) >= 2").select("nth", rank.alias("rank"), number.alias("number"), F.when(f("nation").isNotNull(), F.hash("nation")).alias("code"), "birth", "nation", "org", "org_odds", "text", "sounds")
+    # any two words, in their order, by rows: compiled, as functions of arrays are not
+    pairs = facts.select("*", F.posexplode("sounds").alias("i", "x")).select("*", F.posexplode("sounds").alias("j", "y")).where("i < j").drop("sounds")
+    first = lambda w: F.substring(w, 1, 1)
+    # a word and the initial of another one; the initials of any two words
+    tags = [F.when(f("x") != f("y"), F.xxhash64(w, first(v))) for w, v in (("x", "y"), ("y", "x"))]
+    two = F.xxhash64(F.least(first("x"), first("y")), F.greatest(first("x"), first("y")))
+    month, hot = F.substring("birth", 1, 7), f("org_odds") < 3.0
+    own = F.when((f("i") == 0) & (f("j") == 1), f("text"))
+    made = lambda sign, known, by, *facts: [F.when(known & t.isNotNull(), F.xxhash64(F.lit(sign), t, *facts)) for t in by]
+    made = F.array(
+        *made("m", f("birth").isNotNull(), tags, month),
+        *made("d", F.length("birth") == 10, [two], f("birth")),
+        *made("o", f("org").isNotNull() & ~hot, [two], f("org")),
+        *made("h", f("org").isNotNull() & hot & f("nation").isNotNull(), tags, f("nation"), f("org")),
+        *made("k", f("org").isNotNull() & hot & f("birth").isNotNull(), [two], f("org"), month),
+        *made("w", f("org").isNotNull() & hot, [own], f("org")),
+        *made("n", f("nation").isNotNull(), [own], f("nation")),
+    )
+    keyed = pairs.select("nth", "rank", F.explode(made).alias("key"), f("number").alias("birth"), f("code").alias("nation")).where("key is not null")
     year = lambda side: F.floor(f(f"{side}.birth") / 10000)
     fits = (f("l.birth").isNull() | f("r.birth").isNull() | (F.abs(year("l") - year("r")) <= 1)) & (f("l.nation").isNull() | f("r.nation").isNull() | (f("l.nation") == f("r.nation")) | (f("l.birth") == f("r.birth")))
     side = F.struct("sounds", "birth", "nation", "role", "org", "org_odds", "origin", "uses")
@@ -244,7 +253,7 @@ def person_pairs(spark: SparkSession, people: DataFrame, roles: DataFrame | None
     stars = records.join(heads, "origin").where("nth <> candidate").select(f("nth").alias("variant"), "candidate")
     met = ranked_pairs(keyed, fits).unionByName(stars).join(grouped.select(f("nth").alias("variant"), side.alias("a")), "variant").join(grouped.select(f("nth").alias("candidate"), side.alias("b")), "candidate")
     scored = met.withColumn("posterior", person_posterior()).where("posterior > 0").select("variant", "candidate", "posterior")
-    found = cut(components(attribute(scored, 3.0, keyed), "variant", "canonical").select(f("node").alias("nth"), f("root").alias("cluster")))
+    found = cut(components(attribute(scored, 3.0), "variant", "canonical").select(f("node").alias("nth"), f("root").alias("cluster")), replaces=grouped)
     member = cut(rows.join(found, "nth").select("id", "name", "cluster"))
     alone = cut(rows.join(found, "nth", "left_anti").select("id", "name", f("nth").alias("cluster")))
     several = alone.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster")
