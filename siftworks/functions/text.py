@@ -17,7 +17,9 @@ _LONG = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d"}
 
 def unmarked(text: Column) -> Column:
     """Lower case, Latin letters without their marks."""
-    return F.translate(F.lower(text), _MARKED, _PLAIN)
+    low = F.lower(text)
+    # no letter is looked up where all are of one byte
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, _MARKED, _PLAIN))
 
 
 def fold(text: Column) -> Column:

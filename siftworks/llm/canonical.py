@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.places import country_codes, country_names
 from ..functions.text import words
-from ..tables import cut
+from ..tables import cut, ship
 
 # Words that names of countries may have or not.
 _STATE_WORDS = "the|of|and|republic|republica|republique|repubblica|republik|federal|federative|commonwealth|confederation|grand|duchy|peoples|sar|de|la|del|province|region|county|canton"
@@ -67,11 +70,73 @@ def role_words(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(full, " "), r"\s+", " "))
 
 
-def grams(text: Column) -> Column:
+def grams(text: str) -> list[str]:
     """Distinct character bigrams and trigrams of the words, each word with a mark at either end."""
-    padded = F.transform(F.split(text, " "), lambda w: F.concat(F.lit("^"), w, F.lit("$")))
-    cuts = lambda n: F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))), lambda i: F.substring(w, i, n))))
-    return F.array_distinct(F.concat(cuts(2), cuts(3)))
+    padded = [f"^{w}$" for w in text.split(" ")]
+    return list(dict.fromkeys(w[i : i + n] for n in (2, 3) for w in padded for i in range(max(len(w) - n + 1, 1))))
+
+
+class Index:
+    """Inverted index of ``(code, alias)`` by gram, small enough for every Python worker: it grows with the list, not with the data."""
+
+    def __init__(self, pairs: list[tuple[str, str]]) -> None:
+        self.pairs = sorted(pairs)  # equal codes side by side
+        self.lengths = np.array([len(alias.replace(" ", "")) for _, alias in self.pairs])
+        codes = [code for code, _ in self.pairs]
+        self.starts = np.array([i for i, code in enumerate(codes) if not i or code != codes[i - 1]])
+        self.nth_code = np.cumsum([not i or code != codes[i - 1] for i, code in enumerate(codes)]) - 1
+        held: dict[str, list[int]] = {}
+        for i, (_, alias) in enumerate(self.pairs):
+            for gram in grams(alias):
+                held.setdefault(gram, []).append(i)
+        self.unseen = math.log(len(pairs) + 1.0) / 2
+        self.held = {gram: (math.log((len(pairs) + 1.0) / len(at)), np.array(at, "int32")) for gram, at in held.items()}
+        squares = np.zeros(len(pairs))
+        for w, at in self.held.values():
+            squares[at] += w * w
+        self.norms = np.sqrt(squares)
+
+    def near(self, norm: str, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Aliases, by number, with a gram of ``norm`` that are close enough by cosine or by length; the largest cosine among those of their code."""
+        found = [self.held.get(gram) for gram in grams(norm)]
+        dot, square = np.zeros(len(self.pairs)), 0.0
+        for hit in found:
+            square += hit[0] ** 2 if hit else self.unseen**2
+            if hit:
+                dot[hit[1]] += hit[0] * hit[0]
+        score = dot / (self.norms * math.sqrt(square))
+        # neither close by cosine nor, by their lengths, within the edits allowed: such a pair decides nothing
+        possible = (dot > 0) & ((score >= least) | (np.abs(self.lengths - len(norm.replace(" ", ""))) <= max(len(norm) // 4, 1)))
+        at = np.flatnonzero(possible)
+        return at, np.maximum.reduceat(np.where(possible, score, -1.0), self.starts)[self.nth_code[at]]
+
+
+def cosines(values: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """``(value, norm, code, alias, score)``: values ``(value, norm)`` beside the aliases of ``entries`` that ``Index.near`` gives for them.
+
+    The rows that the index multiplies are added up where they are made, in Arrow batches beside a copy of the index; as
+    rows of their own they would be a hundred times the grams.
+    """
+    spark = values.sparkSession
+    ship(spark)
+    schema = "value string, norm string, code string, alias string, score double"
+    listed = entries.select("code", "alias").toArrow()
+    if not listed.num_rows:
+        return values.select("value", "norm", F.lit("").alias("code"), F.lit("").alias("alias"), F.lit(0.0).alias("score")).where("false")
+    index = spark.sparkContext.broadcast(Index(list(zip(listed["code"].to_pylist(), listed["alias"].to_pylist(), strict=True))))
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = index.value
+        codes, aliases = (pa.array(side) for side in zip(*known.pairs, strict=True))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                met = [known.near(norm, least) for norm in part.column("norm").to_pylist()]
+                nth = np.repeat(np.arange(len(met)), [len(at) for at, _ in met])
+                at, score = np.concatenate([at for at, _ in met]), np.concatenate([score for _, score in met])
+                yield pa.RecordBatch.from_arrays([part.column("value").take(pa.array(nth)), part.column("norm").take(pa.array(nth)), codes.take(pa.array(at)), aliases.take(pa.array(at)), pa.array(score)], ["value", "norm", "code", "alias", "score"])
+
+    return values.select("value", "norm").mapInArrow(beside, schema)
 
 
 def canonical_codes(
@@ -88,7 +153,7 @@ def canonical_codes(
     misspellings, if it alone has the least edit distance, at most a quarter of the letters and at least one.
 
     Everything is keyed by distinct value, so a value that a third of all rows share is scored once. The index grows with
-    the list and not with the data, and is broadcast.
+    the list and not with the data, and is broadcast to the Python workers.
 
     NULL and blank values have no row. A value of fewer than ``least_length`` letters can only match exactly. Aliases that several codes
     share take the smallest code in the exact step. Values keep their spelling; extra columns are not read.
@@ -101,31 +166,18 @@ def canonical_codes(
     )
     hit = asked.join(known, "alias").groupBy("value").agg(F.max_by("code", F.struct("size", "alias")).alias("code"))
     sure = cut(hit.select("value", "code", F.lit(1.0).alias("score")))
-    open_ = cut(distinct.join(sure, "value", "left_anti").where(F.length("norm") >= least_length).select("value", "norm").withColumn("v", F.monotonically_increasing_id()))
-    fuzzy = cut(entries.withColumn("alias", normalise(F.col("alias"))).where(F.length("alias") >= least_length).select("code", "alias").distinct().withColumn("a", F.monotonically_increasing_id()))
-    index = fuzzy.select("a", F.explode(grams(F.col("alias"))).alias("gram"))
-    n = fuzzy.count()
-    rarity = index.groupBy("gram").agg(F.log(F.lit(n + 1.0) / F.count(F.lit(1))).alias("w"))
-    index = cut(index.join(rarity, "gram"))
-    norms = index.groupBy("a").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("alias_norm"))
+    open_ = cut(distinct.join(sure, "value", "left_anti").where(F.length("norm") >= least_length).select("value", "norm"))
+    fuzzy = cut(entries.withColumn("alias", normalise(F.col("alias"))).where(F.length("alias") >= least_length).select("code", "alias").distinct())
     # spread by value before the index multiplies the rows, in as many tasks as the session asks for
     tasks = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = open_.repartition(tasks, "v")
-    broken = spread.select("v", F.explode(grams(F.col("norm"))).alias("gram"))
-    weights = index.select("gram", F.col("w").alias("gw")).distinct()
-    weighed = cut(broken.join(weights, "gram", "left").withColumn("gw", F.coalesce("gw", F.log(F.lit(n + 1.0)) / 2)))
-    value_norms = weighed.groupBy("v").agg(F.sqrt(F.sum(F.col("gw") ** 2)).alias("value_norm"))
-    # parted by value beside a copy of the index: the rows that the index multiplies stay where they are made
-    met = weighed.repartition(tasks, "v").join(F.broadcast(index), "gram").groupBy("v", "a").agg(F.sum(F.col("gw") * F.col("w")).alias("dot"))
-    scored = met.join(fuzzy.join(norms, "a"), "a").join(open_.join(value_norms, "v"), "v")
+    scored = cosines(open_.repartition(tasks, "value"), fuzzy, threshold - margin)
     near = F.floor(F.greatest(F.length("norm") / 4.0, F.lit(1.0)))
     bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    # neither close by cosine nor, by their lengths, within the edits allowed: such a pair decides nothing below
-    possible = (F.col("score") >= threshold - margin) | (F.abs(F.length(bare("norm")) - F.length(bare("alias"))) <= near)
-    scored = scored.withColumn("score", F.col("dot") / (F.col("alias_norm") * F.col("value_norm"))).where(possible)
     letters = lambda c: F.array_sort(F.split(c, ""))
     edits = F.levenshtein(bare("norm"), bare("alias"))
     scored = scored.withColumn("away", F.when((edits == 2) & (letters("norm") == letters("alias")), 1).otherwise(edits))  # two swapped letters are one edit
+    # a code that is neither close by cosine nor, by its edits, within what is accepted below decides nothing
+    scored = scored.where((F.col("score") >= threshold - margin) | (F.col("away") <= F.greatest(F.length("norm") * 0.5, F.lit(2.0))))
     per_code = cut(scored.groupBy("value", "norm", "code").agg(F.max("score").alias("score"), F.min("away").alias("away")))
     by_score = Window.partitionBy("value").orderBy(F.desc("score"), "code")
     by_edits = Window.partitionBy("value").orderBy("away", F.desc("score"), "code")

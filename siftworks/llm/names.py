@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,8 +34,9 @@ def lei(source: Column, source_id: Column, record: Column) -> Column:
 
 def stand_in(value: Column) -> Column:
     """True for NULL, blanks, punctuation and words that stand for no value."""
-    bare = F.regexp_replace(F.lower(F.trim(value)), r"^[\s\p{P}\p{S}]+|[\s\p{P}\p{S}]+$", "")
-    return value.isNull() | bare.isin(*STAND_INS)
+    # anchored, so that most values are done with at their first letter
+    around, inner = r"[\s\p{P}\p{S}]*", "|".join(re.escape(w) for w in STAND_INS)
+    return value.isNull() | F.lower(F.trim(value)).rlike(f"^{around}(?:{inner}){around}$")
 
 
 def usable_name(name: Column, source_id: Column) -> Column:

@@ -6,7 +6,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +51,10 @@ _VOWELS = frozenset("aeiouy")
 
 
 def plain(text: str) -> str:
-    text = unicodedata.normalize("NFKD", text.lower().translate(_PLAIN))
+    text = text.lower()
+    if text.isascii():
+        return text
+    text = unicodedata.normalize("NFKD", text.translate(_PLAIN))
     return "".join(ch for ch in text if not unicodedata.combining(ch)) if not text.isascii() else text
 
 
@@ -106,11 +109,12 @@ def parse(name: str) -> tuple[list[str], str, int, str, str]:
     joined = joined.replace("s.p.a", "spa").replace("g.m.b.h", "gmbh").replace("public limited company", "plc")
     tokens = _TOKEN.findall(joined)
     words: list[str] = []
-    listed = {_WORD_OF[t.rstrip(".")] for t in tokens if t.rstrip(".") in _WORD_OF}
+    bare = [t.rstrip(".") for t in tokens]
+    listed = {_WORD_OF[t] for t in bare if t in _WORD_OF}
     k = 0
     while k < len(tokens):
-        dotted, t = tokens[k][-1] == ".", tokens[k].rstrip(".")
-        nxt = tokens[k + 1].rstrip(".") if k + 1 < len(tokens) else ""
+        dotted, t = tokens[k][-1] == ".", bare[k]
+        nxt = bare[k + 1] if k + 1 < len(tokens) else ""
         if t == "fund" and (nxt in _ROMAN or nxt.isdigit()):
             fund, k = _ROMAN.get(nxt) or int(nxt[:6]), k + 2
             continue
@@ -126,27 +130,24 @@ def parse(name: str) -> tuple[list[str], str, int, str, str]:
             words.append(t)
         k += 1
     if not words:
-        words = [t for t in (x.rstrip(".") for x in tokens) if t not in _FORM_OF and t not in _DROP and t != "fund"][:2]
+        words = [t for t in bare if t not in _FORM_OF and t not in _DROP and t != "fund"][:2]
     return words, code, fund, legal, mark
 
 
 SCHEMA = "words array<string>, sounds array<string>, business string, fund int, legal string, mark string"
-
-
-def _rows(names: pd.Series) -> pd.DataFrame:
-    rows = []
-    for name in names:
-        words, code, fund, legal, mark = parse(name or "")
-        rows.append((words, sorted({sound(w) for w in words}), code, fund, legal, mark))
-    return pd.DataFrame(rows, columns=["words", "sounds", "business", "fund", "legal", "mark"])
+_WORDS = pa.list_(pa.string())
 
 
 def parts(name: Column) -> Column:
     """A name's parts as a struct; ``sounds`` are the distinct words in shared spelling, sorted. NULL has no words."""
 
     ship(SparkSession.getActiveSession())
-    @F.pandas_udf(SCHEMA)
-    def take_apart(names: pd.Series) -> pd.DataFrame:
-        return _rows(names)
+    @F.arrow_udf(SCHEMA)
+    def take_apart(names: pa.Array) -> pa.Array:
+        words, codes, funds, legals, marks = zip(*map(parse, ("", *[name or "" for name in names.to_pylist()])), strict=True)
+        sounds = [sorted({sound(w) for w in ws}) for ws in words]
+        fields = (words, sounds, codes, funds, legals, marks)
+        kinds = (_WORDS, _WORDS, pa.string(), pa.int32(), pa.string(), pa.string())
+        return pa.StructArray.from_arrays([pa.array(x[1:], kind) for x, kind in zip(fields, kinds, strict=True)], ["words", "sounds", "business", "fund", "legal", "mark"])
 
     return take_apart(name)

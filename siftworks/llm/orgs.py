@@ -24,7 +24,7 @@ def source_groups(orgs: DataFrame) -> DataFrame:
 
 def compact(value: Column) -> Column:
     """Letters and digits only, in lower case and without marks; NULL if none is left."""
-    bare = F.regexp_replace(unmarked(value), r"[^\p{L}\p{N}]", "")
+    bare = F.regexp_replace(unmarked(value), r"[^\p{L}\p{N}]+", "")
     return F.when(bare != "", bare)
 
 
@@ -48,27 +48,27 @@ def own_entries(orgs: DataFrame, countries: DataFrame) -> DataFrame:
     return cut(base)
 
 
-def filled_entries(orgs: DataFrame, own: DataFrame) -> DataFrame:
+def filled_entries(orgs: DataFrame, own: DataFrame, kept: tuple[str, ...] = ("source", "source_id", "name", "lei"), fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """``own`` with its ``unit``, the smallest id of the rows that share a source record or an LEI with it.
 
-    A field that a row lacks is taken from its unit (the smallest value, so that it doesn't depend on order). The files of
-    ``own`` are removed.
+    A field that a row lacks is taken from its unit (the smallest value, so that it doesn't depend on order). Of the columns
+    that nothing is compared by only those ``kept`` are moved. The files of ``own`` are removed.
     """
     groups = cut(source_groups(orgs))
-    shared = own.select("id", *FIELDS).join(groups, "id").groupBy("group_id").agg(*[F.min(c).alias(f"u_{c}") for c in FIELDS])
+    shared = own.select("id", *fields).join(groups, "id").groupBy("group_id").agg(*[F.min(c).alias(f"u_{c}") for c in fields])
     known = groups.join(shared, "group_id")
     filled = own.join(known, "id", "left")
-    return cut(filled.select("id", F.coalesce("group_id", "id").alias("unit"), "source", "source_id", "name", "lei", "words", "sounds", "business", "fund", "legal", "mark", *[F.coalesce(c, f"u_{c}").alias(c) for c in FIELDS]), replaces=own)
+    return cut(filled.select("id", F.coalesce("group_id", "id").alias("unit"), *kept, "words", "sounds", "business", "fund", "legal", "mark", *[F.coalesce(c, f"u_{c}").alias(c) for c in fields]), replaces=own)
 
 
-def entries(orgs: DataFrame, countries: DataFrame) -> DataFrame:
-    """``own_entries``, filled in from their units."""
-    return filled_entries(orgs, own_entries(orgs, countries))
+def entries(orgs: DataFrame, countries: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """``own_entries`` by ``id`` and ``unit`` with their parts and ``fields``, filled in from their units."""
+    return filled_entries(orgs, own_entries(orgs, countries), (), fields)
 
 
-def edits(x: Column, y: Column) -> Column:
-    """Edit distance; two letters that changed places are one edit."""
-    plain = F.levenshtein(x, y)
+def edits(x: Column, y: Column, plain: Column | None = None) -> Column:
+    """Edit distance, from the ``plain`` one if it is known; two letters that changed places are one edit."""
+    plain = F.levenshtein(x, y) if plain is None else plain
     swapped = (plain == 2) & (F.length(x) == F.length(y)) & (F.array_sort(F.split(x, "")) == F.array_sort(F.split(y, "")))
     return F.when(swapped, 1).otherwise(plain)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,27 +38,19 @@ def canonical(word: str) -> str:
 def parse(name: str) -> list[str]:
     """Words in given-names-first order, folded, without titles; ``Surname, Given`` is turned round, hyphens divide."""
     text = plain(name)
-    if not text.isascii() or any(ch.isdigit() for ch in text):
+    if "0" in text or "1" in text:
         text = re.sub(r"(?<=[a-z])0|0(?=[a-z])", "o", re.sub(r"(?<=[a-z])1|1(?=[a-z])", "l", text))
     head, comma, tail = text.partition(",")
     listed = lambda part: [w for w in _WORD.findall(part.replace("'", "").replace("’", "")) if w not in TITLES]
     return listed(tail) + listed(head) if comma else listed(head)
 
 
-def _rows(names: pd.Series) -> pd.DataFrame:
-    rows = []
-    for name in names:
-        words = parse(name or "")
-        rows.append((words, [canonical(w) for w in words]))
-    return pd.DataFrame(rows, columns=["words", "sounds"])
-
-
-def parts(name: Column) -> Column:
-    """``words`` and their canonical ``sounds``, in the same order."""
+def sounds(name: Column) -> Column:
+    """Canonical words of a name, in given-names-first order. NULL has none."""
 
     ship(SparkSession.getActiveSession())
-    @F.pandas_udf("words array<string>, sounds array<string>")
-    def take_apart(names: pd.Series) -> pd.DataFrame:
-        return _rows(names)
+    @F.arrow_udf("array<string>")
+    def take_apart(names: pa.Array) -> pa.Array:
+        return pa.array([[canonical(w) for w in parse(name or "")] for name in names.to_pylist()], pa.list_(pa.string()))
 
     return take_apart(name)

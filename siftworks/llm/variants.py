@@ -18,15 +18,20 @@ SAME, RESPELT, SLIP, CUT, INITIAL, LEFT_OUT, ELSE = 0.0, -0.7, -3.0, -3.0, -2.0,
 
 def word_cost(x: Column, y: Column) -> Column:
     """Log-likelihood that one writes the word x for y: the same, an initial, a slip or two of the keys, cut off, another word."""
-    slips = edits(x, y)
     longest, shortest = F.greatest(F.length(x), F.length(y)), F.least(F.length(x), F.length(y))
     allowed = F.greatest(F.floor(longest / 4), F.lit(1))
+    other = F.when((shortest >= 4) & (F.startswith(x, y) | F.startswith(y, x)), CUT).otherwise(ELSE)
+
+    def slipped(plain: Column) -> Column:
+        slips = edits(x, y, plain)
+        return F.when(slips <= allowed, slips * SLIP).otherwise(other)
+
+    # the distance is bound to a name: functions of arrays work an expression out as often as it stands in them
     return (
         F.when(x == y, SAME)
         .when(shortest == 1, F.when(F.substring(x, 1, 1) == F.substring(y, 1, 1), INITIAL).otherwise(ELSE))
-        .when((longest - shortest <= allowed) & (slips <= allowed), slips * SLIP)
-        .when((shortest >= 4) & (F.startswith(x, y) | F.startswith(y, x)), CUT)
-        .otherwise(ELSE)
+        .when(longest - shortest > allowed, other)
+        .otherwise(F.get(F.transform(F.array(F.levenshtein(x, y)), slipped), F.lit(0)))
     )
 
 
@@ -37,18 +42,22 @@ def name_likelihood(a: Column, b: Column) -> Column:
     beyond that are left out.
     """
     def one_way(s: Column, o: Column) -> Column:
-        best = F.transform(s, lambda x: F.coalesce(F.array_max(F.transform(o, lambda y: word_cost(x, y))), F.lit(ELSE)))
+        likeliest = lambda x: F.coalesce(F.array_max(F.transform(o, lambda y: word_cost(x, y))), F.lit(ELSE))
+        best = F.transform(s, lambda x: F.when(F.array_contains(o, x), SAME).otherwise(likeliest(x)))  # nothing is likelier than the same word
         return F.aggregate(best, F.lit(0.0), lambda t, v: t + v) + (F.size(o) - F.size(s)) * LEFT_OUT
 
     return F.when(F.size(a) <= F.size(b), one_way(a, b)).otherwise(one_way(b, a))
 
 
-def attribute(scored: DataFrame, sure: float) -> DataFrame:
+def attribute(scored: DataFrame, sure: float, above: float | None = None) -> DataFrame:
     """``(variant, canonical)``: of the scored candidates ``(variant, candidate, posterior)`` the likeliest one, ties to the smaller candidate.
 
     A variant that is ``sure`` of several candidates belongs to each, which makes them one: their own forms had too little in common.
+    Candidates that are not ``above`` a posterior don't count; they are left out after it is written, else it is worked out twice.
     """
     scored = cut(scored)
+    if above is not None:
+        scored = scored.where(F.col("posterior") > above)
     best = scored.groupBy("variant").agg(F.max_by("candidate", F.struct("posterior", -F.col("candidate"))).alias("canonical"))
     return best.unionByName(scored.where(F.col("posterior") >= sure).select("variant", F.col("candidate").alias("canonical"))).distinct()
 
@@ -70,6 +79,26 @@ def ranked_pairs(keyed: DataFrame, fits: Column) -> DataFrame:
     return pairs
 
 
+def entry_heads(base: DataFrame) -> DataFrame:
+    """``(same, nth, rows, uses)``: of the rows with an equal hash ``same`` the smallest ``id`` and how many they are; how many rows have their ``text``.
+
+    ``base`` is read for ``id``, ``same`` and ``text`` alone, so that its wide rows are shuffled once, to what is found here.
+    """
+    first = base.groupBy("same").agg(F.min("id").alias("nth"), F.count(F.lit(1)).alias("rows"), F.min("text").alias("text"))
+    uses = base.groupBy("text").agg(F.count(F.lit(1)).alias("uses"))
+    return cut(first.join(uses, "text").select("same", "nth", "rows", "uses"))
+
+
+def with_sides(pairs: DataFrame, held: DataFrame, side: Column) -> DataFrame:
+    """``pairs`` of ``variant`` and ``candidate`` with the ``side`` of either's row in ``held``, by ``nth``, as ``a`` and ``b``.
+
+    Both are read from one shuffle: in an array, no side is stripped of what only the other one is asked for.
+    """
+    held = held.select("nth", F.array(side).alias("of"))
+    met = pairs.join(held.alias("l"), F.col("variant") == F.col("l.nth")).join(held.alias("r"), F.col("candidate") == F.col("r.nth"))
+    return met.select("variant", "candidate", F.element_at("l.of", 1).alias("a"), F.element_at("r.of", 1).alias("b"))
+
+
 def left_out(df: DataFrame, beside: Column, nth: str) -> DataFrame:
     """``(key, nth)``: hashes of each of the ``sounds``, and of it without each of its letters, with the number ``beside``; repeats are possible."""
     words = df.select(nth, beside.alias("beside"), F.explode("sounds").alias("w"))
@@ -82,20 +111,18 @@ def left_out(df: DataFrame, beside: Column, nth: str) -> DataFrame:
 
 
 def org_clusters(orgs: DataFrame, countries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(rows, spelled)``: organizations rows with their ``cluster``, and the distinct spellings with parts and cluster.
+    """``(rows, spelled)``: ``id``, ``unit`` and ``cluster`` of organizations rows and whether it has other units (``linked``), and the distinct spellings with parts and cluster.
 
     A spelling is a unit's (rows of one source record or LEI) way to write its name. Spellings rank by how many rows use
     them, then by fullness; each is attached to the better-ranked spelling with the largest posterior: log of its
     frequency plus the likelihood of the slips, among those whose facts agree. Units of one cluster are one organization.
     """
-    whole = entries(orgs, countries)
     f = F.col
     facts = ["sounds", "words", "business", "fund", "country", "day", "city", "phone", "street"]
     text = F.xxhash64("sounds", "business", "fund")
-    spelled = whole.groupBy("unit", *facts, "legal", "mark").agg(F.count(F.lit(1)).alias("rows"))
-    spelled = cut(spelled.withColumn("nth", F.monotonically_increasing_id()).withColumn("text", text))
-    uses = spelled.groupBy("text").agg(F.sum("rows").alias("uses"))
-    spelled = cut(spelled.join(uses, "text").drop("text"), replaces=spelled)
+    whole = entries(orgs, countries, tuple(facts[4:]))
+    heads = entry_heads(whole.select("id", F.xxhash64("unit", *facts, "legal", "mark").alias("same"), text.alias("text")))
+    spelled = cut(whole.select("id", "unit", *facts, "legal", "mark").join(heads.select(f("nth").alias("id"), "rows", "uses"), "id").withColumnRenamed("id", "nth"))
     business = F.when(f("business") != "", f("business"))
     each, name = F.when(F.size("sounds") > 0, f("sounds")), F.when(F.size("sounds") >= 2, F.array(F.array_join("sounds", " ")))
     # one word or two run together in either order: the letters, sorted
@@ -107,29 +134,30 @@ def org_clusters(orgs: DataFrame, countries: DataFrame) -> tuple[DataFrame, Data
         ("name, business", [name, business, fund]), ("name, country", [name, fund, f("country")]), ("run together", [run, business, fund]), ("city, day", [F.array("city"), f("day")]), ("phone, country", [F.array("phone"), f("country")]),
     ]
     rank = f("uses") * 16 + F.size("sounds") * 2 + F.when(f("business") != "", 1).otherwise(0)
-    keyed = keys(spelled, rules).select("key", "nth", rank.alias("rank"), "unit", "country")
-    apart = (f("l.unit") != f("r.unit")) & (f("l.country").isNull() | f("r.country").isNull() | (f("l.country") == f("r.country")))
+    keyed = keys(spelled, rules).select("key", "nth", rank.alias("rank"), F.when(f("country").isNotNull(), F.hash("country")).alias("country"))
+    apart = (f("l.country").isNull() | f("r.country").isNull() | (f("l.country") == f("r.country")))
     side = F.struct("unit", "uses", *facts)
-    met = ranked_pairs(keyed, apart).join(spelled.select(f("nth").alias("variant"), side.alias("a")), "variant").join(spelled.select(f("nth").alias("candidate"), side.alias("b")), "candidate")
+    met = with_sides(ranked_pairs(keyed, apart), spelled, side)
     posterior = F.log(f("b.uses") + 1.0) + name_likelihood(f("a.sounds"), f("b.sounds"))
-    scored = met.where(agree()).select("variant", "candidate", posterior.alias("posterior"))
+    scored = met.where((f("a.unit") != f("b.unit")) & agree()).select("variant", "candidate", posterior.alias("posterior"))
     units = spelled.select("nth", "unit")
     links = attribute(scored, -5.0).join(units.select(f("nth").alias("variant"), f("unit").alias("a")), "variant").join(units.select(f("nth").alias("canonical"), f("unit").alias("b")), "canonical")
     found = cut(components(links.select("a", "b"), "a", "b").select(f("node").alias("unit"), f("root").alias("cluster")))
-    in_cluster = lambda df: df.join(found, "unit", "left").withColumn("cluster", F.coalesce("cluster", "unit"))
-    rows = cut(in_cluster(whole.select("id", "unit", "source", "source_id", "name")), replaces=whole)
-    return rows, cut(in_cluster(spelled.select("unit", "words", "sounds", "business", "fund", "legal", "country", "rows")), replaces=spelled)
+    in_cluster = lambda df: df.join(found, "unit", "left").withColumn("linked", f("cluster").isNotNull()).withColumn("cluster", F.coalesce("cluster", "unit"))
+    rows = cut(in_cluster(whole.select("id", "unit")), replaces=whole)
+    return rows, cut(in_cluster(spelled.select("unit", "words", "sounds", "business", "fund", "legal", "country", "rows")).drop("linked"), replaces=spelled)
 
 
-def org_pairs(rows: DataFrame) -> DataFrame:
+def org_pairs(orgs: DataFrame, rows: DataFrame) -> DataFrame:
     """``(key_a, key_b)``: rows of one cluster and source with different source ids, units and names."""
+    rows = rows.where("linked").select("id", "unit", "cluster").dropDuplicates(["id"]).join(orgs.select("id", "source", "source_id", "name"), "id")
     a = rows.select("cluster", "source", *[F.col(c).alias(f"{c}_a") for c in ("id", "unit", "source_id", "name")])
     b = rows.select("cluster", "source", *[F.col(c).alias(f"{c}_b") for c in ("id", "unit", "source_id", "name")])
     other = (F.col("id_a") < F.col("id_b")) & (F.col("unit_a") != F.col("unit_b")) & (F.col("source_id_a") != F.col("source_id_b")) & ~F.col("name_a").eqNullSafe(F.col("name_b"))
     return a.join(b, ["cluster", "source"]).where(other).select(F.col("id_a").alias("key_a"), F.col("id_b").alias("key_b"))
 
 
-def employer_pairs(people: DataFrame, rows: DataFrame, spelled: DataFrame) -> DataFrame:
+def employer_pairs(people: DataFrame, orgs: DataFrame, rows: DataFrame, spelled: DataFrame) -> DataFrame:
     """``(key_a, key_b)``: organizations rows and people rows whose employer is written otherwise and not identified.
 
     Texts are deduplicated and taken apart; each is attached to the spelling of an organization with the largest posterior:
@@ -138,7 +166,7 @@ def employer_pairs(people: DataFrame, rows: DataFrame, spelled: DataFrame) -> Da
     """
     f = F.col
     open_ = people.where("known_for_org_id is null and trim(known_for_org) <> ''").select("id", f("known_for_org").alias("text"))
-    exact = rows.select(f("name").alias("text")).where("text is not null").distinct()
+    exact = orgs.select(f("name").alias("text")).where("text is not null").distinct()
     open_ = cut(open_.join(exact, "text", "left_anti"))
     texts = cut(open_.select("text").distinct().withColumn("p", orgnames.parts(f("text"))).select("text", "p.*").where("size(sounds) > 0 and business <> ''").withColumn("nth", F.monotonically_increasing_id()))
     spellings = cut(
@@ -176,15 +204,15 @@ def employer_pairs(people: DataFrame, rows: DataFrame, spelled: DataFrame) -> Da
 
 
 def person_entries(spark: SparkSession, people: DataFrame, roles: DataFrame | None, countries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(rows, entries)``: people rows with their entry ``nth``, and the distinct entries with what they are compared by."""
+    """``(rows, heads)``: people rows with what they are compared by, and the ``entry_heads`` of the distinct entries among them."""
     f = F.col
     nation = F.element_at("record", F.lit("nationality"))
     base = people.select(
         "id", "name", "source", "source_id", "country", nation.alias("nationality"), "known_for_role", "known_for_org_id",
         F.when(~names.stand_in(f("known_for_org")), compact(f("known_for_org"))).alias("employer"),
         F.when(f("birth_date").rlike(r"^\d{4}-\d{2}(-\d{2})?$") & ~f("birth_date").isin(*names.FILLER_DATES), f("birth_date")).alias("birth"),
-        personnames.parts(F.when(names.stand_in(f("name")), F.lit("")).otherwise(f("name"))).alias("p"),
-    ).select("*", "p.*").drop("p")
+        personnames.sounds(F.when(names.stand_in(f("name")), F.lit("")).otherwise(f("name"))).alias("sounds"),
+    )
     base = base.join(countries.select(f("value").alias("country"), f("code").alias("c1")), "country", "left")
     base = base.join(countries.select(f("value").alias("nationality"), f("code").alias("c2")), "nationality", "left")
     if roles is not None:
@@ -193,13 +221,11 @@ def person_entries(spark: SparkSession, people: DataFrame, roles: DataFrame | No
     else:
         base = base.withColumn("role", f("known_for_role"))
     org = F.when(f("known_for_org_id").isNotNull(), F.concat(F.lit("#"), f("known_for_org_id"))).otherwise(f("employer"))
-    base = base.select("id", "name", "source", "source_id", "sounds", "birth", F.coalesce("c2", "c1").alias("nation"), "role", org.alias("org"), F.xxhash64(F.concat_ws("|", "source", "source_id")).alias("origin"))
+    base = base.select("id", "name", "sounds", "birth", F.coalesce("c2", "c1").alias("nation"), "role", F.when(org.isNotNull(), F.xxhash64(org)).alias("org"), F.xxhash64(F.concat_ws("|", "source", "source_id")).alias("origin"))
     # equal entries get one number: the smallest id with the same hash of all that is compared
     same = F.xxhash64("sounds", "birth", "nation", "role", "org", "origin")
-    base = cut(base.where("size(sounds) > 0").withColumn("same", same))
-    first = base.groupBy("same").agg(F.min("id").alias("nth"), F.count(F.lit(1)).alias("rows"))
-    rows = cut(base.join(first, "same").drop("same"), replaces=base)
-    return rows.select("id", "name", "nth"), rows.where("id = nth").drop("id", "name", "source", "source_id")
+    rows = cut(base.where("size(sounds) > 0").withColumn("same", same).withColumn("text", F.xxhash64(F.array_sort("sounds"))))
+    return rows, entry_heads(rows)
 
 
 def person_pairs(spark: SparkSession, people: DataFrame, roles: DataFrame | None, countries: DataFrame) -> DataFrame:
@@ -214,12 +240,11 @@ def person_pairs(spark: SparkSession, people: DataFrame, roles: DataFrame | None
     nation, role, employer and source record; below ``0`` it stays on its own. Pairs come from the clusters.
     """
     f = F.col
-    rows, grouped = person_entries(spark, people, roles, countries)
-    spelling = F.xxhash64(F.array_sort("sounds"))
-    uses = grouped.groupBy(spelling.alias("text")).agg(F.sum("rows").alias("uses"))
-    n = grouped.count()
-    employers = grouped.where("org is not null").groupBy("org").agg(F.log(F.lit(n + 1.0) / F.sum("rows")).alias("org_odds")).where(f("org_odds") < 6.0)
-    grouped = cut(grouped.withColumn("text", spelling).join(uses, "text").join(cut(employers), "org", "left").select("nth", "sounds", "birth", "nation", "role", F.when(f("org").isNotNull(), F.xxhash64("org")).alias("org"), F.coalesce("org_odds", F.lit(6.0)).alias("org_odds"), "origin", "uses", "text"))
+    rows, heads = person_entries(spark, people, roles, countries)
+    n = heads.count()
+    employers = rows.where("org is not null").groupBy("org").agg(F.log(F.lit(n + 1.0) / F.count(F.lit(1))).alias("org_odds")).where(f("org_odds") < 6.0)
+    entered = rows.join(heads.select(f("nth").alias("id"), "uses"), "id").withColumnRenamed("id", "nth")
+    grouped = cut(entered.join(cut(employers), "org", "left").select("nth", "sounds", "birth", "nation", "role", "org", F.coalesce("org_odds", F.lit(6.0)).alias("org_odds"), "origin", "uses", "text"))
     full = F.aggregate("sounds", F.lit(0), lambda t, w: t + F.when(F.length(w) > 1, 1).otherwise(0))
     rank = f("uses") * 32 + F.least(full, F.lit(15)) * 2 + F.when(F.length("birth") == 10, 1).otherwise(0)
     # as numbers: a day is yyyymmdd, a month yyyymm00
@@ -249,18 +274,16 @@ def person_pairs(spark: SparkSession, people: DataFrame, roles: DataFrame | None
     side = F.struct("sounds", "birth", "nation", "role", "org", "org_odds", "origin", "uses")
     # entries of one source record: each with the first of them
     records = grouped.where("origin is not null and size(sounds) >= 2").select("origin", "nth")
-    heads = records.groupBy("origin").agg(F.min("nth").alias("candidate"))
-    stars = records.join(heads, "origin").where("nth <> candidate").select(f("nth").alias("variant"), "candidate")
-    met = ranked_pairs(keyed, fits).unionByName(stars).join(grouped.select(f("nth").alias("variant"), side.alias("a")), "variant").join(grouped.select(f("nth").alias("candidate"), side.alias("b")), "candidate")
-    scored = met.withColumn("posterior", person_posterior()).where("posterior > 0").select("variant", "candidate", "posterior")
-    found = cut(components(attribute(scored, 3.0), "variant", "canonical").select(f("node").alias("nth"), f("root").alias("cluster")), replaces=grouped)
-    member = cut(rows.join(found, "nth").select("id", "name", "cluster"))
-    alone = cut(rows.join(found, "nth", "left_anti").select("id", "name", f("nth").alias("cluster")))
-    several = alone.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster")
-    member = member.unionByName(alone.join(several, "cluster", "left_semi").select("id", "name", "cluster"))
-    a = member.select("cluster", F.col("id").alias("key_a"), F.col("name").alias("na"))
-    b = member.select("cluster", F.col("id").alias("key_b"), F.col("name").alias("nb"))
-    return a.join(b, "cluster").where("key_a < key_b and not (na <=> nb)").select("key_a", "key_b")
+    firsts = records.groupBy("origin").agg(F.min("nth").alias("candidate"))
+    stars = records.join(firsts, "origin").where("nth <> candidate").select(f("nth").alias("variant"), "candidate")
+    met = with_sides(ranked_pairs(keyed, fits).unionByName(stars), grouped, side)
+    scored = met.select("variant", "candidate", person_posterior().alias("posterior"))
+    found = cut(components(attribute(scored, 3.0, above=0.0), "variant", "canonical").select(f("node").alias("nth"), f("root").alias("cluster")), replaces=grouped)
+    # an entry of no cluster is one of its own, if it has several rows
+    meant = heads.join(found, "nth", "left").where("cluster is not null or rows > 1").select("same", F.coalesce("cluster", "nth").alias("cluster"))
+    member = cut(rows.select("id", "name", "same").join(meant, "same").select("id", "name", "cluster"), replaces=rows)
+    a, b = member.alias("a"), member.alias("b")
+    return a.join(b, f("a.cluster") == f("b.cluster")).where("a.id < b.id and not (a.name <=> b.name)").select(f("a.id").alias("key_a"), f("b.id").alias("key_b"))
 
 
 def person_posterior() -> Column:
@@ -302,5 +325,5 @@ def spelling_variants(spark: SparkSession, orgs: DataFrame, people: DataFrame, r
     countries = cut(canonical_countries(spark, entered).where("code is not null").select("value", "code"))  # distinct values: small, and broadcast if measured so
     rows, spelled = org_clusters(orgs, countries)
     out = person_pairs(spark, people, roles, countries).select(F.lit("person").alias("kind"), "key_a", "key_b")
-    out = out.unionByName(org_pairs(rows).select(F.lit("org").alias("kind"), "key_a", "key_b"))
-    return out.unionByName(employer_pairs(people, rows, spelled).select(F.lit("employer").alias("kind"), "key_a", "key_b"))
+    out = out.unionByName(org_pairs(orgs, rows).select(F.lit("org").alias("kind"), "key_a", "key_b"))
+    return out.unionByName(employer_pairs(people, orgs, rows, spelled).select(F.lit("employer").alias("kind"), "key_a", "key_b"))
